@@ -1,0 +1 @@
+"""Deliberately empty: every step of this product is batch (see README, "Streaming")."""
