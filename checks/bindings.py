@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from pyspark.sql.types import StructType
+
 from propensia.functions import codes
 from propensia.functions.clean import signed_amount
 from propensia.plans import bank
@@ -19,8 +21,14 @@ MIN_AGE = 12_000  # days; splits the test customers, whose events lie in 2024
 SEGMENT_CARD = {"BUILDING": "classic", "MACHINERY": "gold", "FURNITURE": "junior"}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _case(col: Column, values: dict[str, str], other: Column) -> Column:
@@ -162,18 +170,20 @@ def raw_trans(spark, sf):
     )
 
 
-def raw_bank(spark, sf):
-    return {
-        "account": raw_account(spark, sf), "card": raw_card(spark, sf), "client": raw_client(spark, sf),
-        "disp": raw_disp(spark, sf), "district": raw_district(spark, sf), "loan": raw_loan(spark, sf),
-        "order": raw_order(spark, sf), "trans": raw_trans(spark, sf),
-    }
+RAW = {
+    "account": raw_account, "card": raw_card, "client": raw_client, "disp": raw_disp,
+    "district": raw_district, "loan": raw_loan, "order": raw_order, "trans": raw_trans,
+}
+
+
+def raw_bank(spark, sf, names=tuple(RAW)):
+    return {name: RAW[name](spark, sf) for name in names}
 
 
 # ---- prepared roles ----------------------------------------------------------------------
 
-def tables(spark, sf):
-    return bank.prepare(raw_bank(spark, sf), unit="day")
+def tables(spark, sf, names=tuple(RAW)):
+    return bank.prepare(raw_bank(spark, sf, names), unit="day")
 
 
 def entries(spark, sf):
@@ -199,15 +209,21 @@ def draw(key: Column, size: Column) -> Column:
 
 
 def master(spark, sf):
-    return bank.master_record(tables(spark, sf))
+    return bank.master_record(tables(spark, sf, [n for n in RAW if n != "trans"]))
 
 
 def adults(spark, sf):
     return bank.without_junior(master(spark, sf))
 
 
+def holders(spark, sf):
+    """Card status of every owner without a junior card."""
+    t = {"disp": bank.clean_disp(raw_disp(spark, sf)), "card": bank.clean_card(raw_card(spark, sf), "day")}
+    return bank.without_junior(bank.card_status(t))
+
+
 def dates(spark, sf):
-    return bank.event_dates(adults(spark, sf), draw=draw)
+    return bank.event_dates(holders(spark, sf), draw=draw)
 
 
 def windows(spark, sf):

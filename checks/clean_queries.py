@@ -215,7 +215,7 @@ def f6y(spark, sf):
 
 @query("f7_min_age_at_event", sql(f"select a.account_id, d.issued, a.birth_day from adults a join dates d using (account_id) where date_diff('day', a.birth_day, d.issued) >= {B.MIN_AGE}"))
 def f7(spark, sf):
-    rows = B.dates(spark, sf).select("account_id", "issued").join(B.adults(spark, sf).select("account_id", "birth_day"), "account_id")
+    rows = B.dates(spark, sf).select("account_id", "issued").join(bank.clean_client(B.raw_client(spark, sf)).select(F.col("client_id").alias("account_id"), "birth_day"), "account_id")
     return X.min_age_at_event(rows, "issued", "birth_day", B.MIN_AGE)
 
 

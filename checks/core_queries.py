@@ -146,7 +146,7 @@ def g2m(spark, sf):
 
 @query("g3_surrogate_event_date", sql("select account_id, issued from dates where not has_card"))
 def g3(spark, sf):
-    rows = B.adults(spark, sf)
+    rows = B.holders(spark, sf)
     return L.surrogate_event_date(rows.filter(~F.col("has_card")), rows.filter("has_card"), draw=B.draw)
 
 
@@ -233,7 +233,7 @@ def _steps_sql(body):
 
 def steps(spark, sf):
     m = B.master(spark, sf)
-    dates = bank.event_dates(bank.without_junior(m), draw=B.draw)
+    dates = B.dates(spark, sf)
     rolled = L.event_rollup(B.ledger(spark, sf), dates, unit="day", measures=["n_transactions"])
     return bank.attrition_steps(m, dates, rolled, B.MIN_AGE)
 
@@ -302,7 +302,7 @@ def j6(spark, sf):
 
 @query("j7_event_date_coalesce", sql("select a.account_id, d.issued, a.has_card from adults a join dates d using (account_id)"))
 def j7(spark, sf):
-    rows = B.adults(spark, sf).select("account_id", "issued", "has_card")
+    rows = B.holders(spark, sf).select("account_id", "issued", "has_card")
     drawn = L.surrogate_event_date(rows.filter(~F.col("has_card")), rows.filter("has_card"), draw=B.draw)
     return J.event_date_coalesce(rows, drawn, "account_id")
 

@@ -90,9 +90,7 @@ def _r3_cell(c):
     f"select {', '.join(_r3_cell(c) for c in _R3_KEEP)}, cast(w.has_card as int) as label, {B.sql_values(prefix='w.')} "
     f"from adults m join windows w on w.account_id = m.account_id where date_diff('day', m.birth_day, w.issued) >= {B.MIN_AGE}"))
 def r3(spark, sf):
-    t = B.adults(spark, sf)
-    dates = bank.event_dates(t, draw=B.draw)
-    rows = bank.modelling_set(t, bank.affinity_windows(B.ledger(spark, sf), dates, unit="day"), B.MIN_AGE)
+    rows = bank.modelling_set(B.adults(spark, sf), B.windows(spark, sf), B.MIN_AGE)
     return rounded(plain(rows), *_R3_IMPUTED)
 
 

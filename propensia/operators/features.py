@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from propensia.functions.codes import FEATURE_PERIODS, RATIO_EPSILON
 from propensia.operators.ranking import exact_quantiles
@@ -18,13 +18,17 @@ _WITH_SUM = ("credit", "withdrawal")
 _WITH_STD = ("balance", "credit")
 
 
-def _row_mean(cols: Sequence[Column]) -> Column:
-    """Mean over columns of a row, nulls skipped."""
-    total, count = F.lit(0.0), F.lit(0)
-    for c in cols:
-        total = total + F.coalesce(c, F.lit(0.0))
-        count = count + c.isNotNull().cast("int")
-    return F.try_divide(total, count.cast("double"))
+def _row_sum(cells: Sequence[str]) -> str:
+    """Sum over expressions of a row, nulls skipped."""
+    return "(" + " + ".join(f"coalesce({c}, 0D)" for c in cells) + ")"
+
+
+def _row_count(cells: Sequence[str]) -> str:
+    return "(" + " + ".join(f"if({c} is null, 0, 1)" for c in cells) + ")"
+
+
+def _row_mean(cells: Sequence[str]) -> str:
+    return f"try_divide({_row_sum(cells)}, {_row_count(cells)})"
 
 
 def window_features(df: DataFrame, measures: Sequence[str] = FEATURE_MEASURES, periods: int = FEATURE_PERIODS) -> DataFrame:
@@ -32,27 +36,22 @@ def window_features(df: DataFrame, measures: Sequence[str] = FEATURE_MEASURES, p
 
     Plain row arithmetic: no shuffle, and synthetic rows get theirs from their own columns.
     """
-    first, last = range(1, 4), range(periods - 2, periods + 1)
-    col = lambda m, k: F.col(f"{m}_{k}").cast("double")
     means, out = {}, {}
     for m in measures:
-        cells = [col(m, k) for k in range(1, periods + 1)]
-        means[f"{m}_mean"] = _row_mean(cells)
-        out[f"{m}_min"] = F.least(*cells)
-        out[f"{m}_max"] = F.greatest(*cells)
-        out[f"{m}_mad"] = _row_mean([F.abs(c - F.col(f"{m}_mean")) for c in cells])
-        out[f"{m}_mean_ratio_last3_first3"] = F.try_divide(
-            _row_mean([col(m, k) for k in last]), _row_mean([col(m, k) for k in first]) + F.lit(RATIO_EPSILON)
+        cells = [f"cast({m}_{k} as double)" for k in range(1, periods + 1)]
+        listed, count = ", ".join(cells), _row_count(cells)
+        means[f"{m}_mean"] = F.expr(_row_mean(cells))
+        out[f"{m}_min"] = F.expr(f"least({listed})")
+        out[f"{m}_max"] = F.expr(f"greatest({listed})")
+        out[f"{m}_mad"] = F.expr(_row_mean([f"abs({c} - {m}_mean)" for c in cells]))
+        out[f"{m}_mean_ratio_last3_first3"] = F.expr(
+            f"try_divide({_row_mean(cells[-3:])}, {_row_mean(cells[:3])} + {RATIO_EPSILON!r}D)"
         )
         if m in _WITH_SUM:
-            total = F.lit(0.0)
-            for c in cells:
-                total = total + F.coalesce(c, F.lit(0.0))
-            out[f"{m}_sum"] = total
+            out[f"{m}_sum"] = F.expr(_row_sum(cells))
         if m in _WITH_STD:
-            squares = [(c - F.col(f"{m}_mean")) * (c - F.col(f"{m}_mean")) for c in cells]
-            present = sum((c.isNotNull().cast("double") for c in cells[1:]), cells[0].isNotNull().cast("double"))
-            out[f"{m}_std"] = F.sqrt(F.try_divide(_row_mean(squares) * present, F.nullif(present - 1, F.lit(0.0))))
+            squares = _row_sum([f"({c} - {m}_mean) * ({c} - {m}_mean)" for c in cells])
+            out[f"{m}_std"] = F.expr(f"sqrt(try_divide({squares}, nullif({count} - 1, 0)))")
     return df.withColumns(means).withColumns(out)
 
 

@@ -70,10 +70,10 @@ def pivot_wide(df: DataFrame, key: str = "account_id", step: str = "k", horizon:
     The domain of ``k`` is given, so no discovery job runs, and the completeness test is one more
     aggregate of the same pass.
     """
+    kinds = {m: df.schema[m].dataType for m in measures}
+    back = {m: f" as {t.simpleString()})" if t.typeName() == "decimal" else " as double)" for m, t in kinds.items()}
     cells = [
-        F.avg(F.when(F.col(step) == k, F.col(m))).cast(df.schema[m].dataType).alias(f"{m}_{k}")
-        if df.schema[m].dataType.typeName() == "decimal"
-        else F.avg(F.when(F.col(step) == k, F.col(m))).alias(f"{m}_{k}")
+        F.expr(f"cast(avg(case when {step} = {k} then {m} end){back[m]}").alias(f"{m}_{k}")
         for m in measures
         for k in range(1, horizon + 1)
     ]
@@ -90,7 +90,7 @@ def event_rollup(ledger: DataFrame, events: DataFrame, key: str = "account_id",
     """
     near = event_distance(ledger, events, key, unit, horizon)
     cells = [
-        F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{m}_{k}")
+        F.expr(f"max(case when k = {k} then {m} end)").alias(f"{m}_{k}")
         for m in measures
         for k in range(1, horizon + 1)
     ]
@@ -116,26 +116,32 @@ def min_per_group(df: DataFrame, key: str | None, value: str, out: str) -> DataF
     return grouped.agg(F.min(value).alias(out))
 
 
-def surrogate_event_date(
-    keys: DataFrame,
+def draw_event_date(
+    rows: DataFrame,
     event_dates: DataFrame,
     key: str = "account_id",
     issued: str = "issued",
+    out: str = "_drawn",
     seed: int = 43,
     draw: Callable[[Column, Column], Column] | None = None,
     after_first: str | None = None,
 ) -> DataFrame:
-    """(key, issued): a date drawn per key, each distinct event date being equally likely.
+    """Add a date drawn per key, each distinct event date being equally likely.
 
     The pool is one sorted array (as long as the calendar allows) fetched by a scalar subquery; the
     pick is a function of the key alone. ``draw(key, size)`` replaces the default hash pick;
     ``after_first`` names a column whose date the pick must lie behind.
     """
     pool = event_dates.agg(F.array_sort(F.collect_set(issued))).scalar()
-    rows = keys.withColumn("_pool", pool)
+    rows = rows.withColumn("_pool", pool)
     if after_first:
         rows = rows.withColumn("_pool", F.filter("_pool", lambda d: d > F.col(after_first)))
     size = F.size("_pool")
     index = draw(F.col(key), size) if draw else F.pmod(key_hash(key, seed=seed), size)
-    pick = F.when(size > 0, F.get("_pool", index.cast("int")))
-    return rows.select(key, pick.alias(issued))
+    return rows.withColumn(out, F.when(size > 0, F.get("_pool", index.cast("int")))).drop("_pool")
+
+
+def surrogate_event_date(keys: DataFrame, event_dates: DataFrame, key: str = "account_id", issued: str = "issued", **how) -> DataFrame:
+    """(key, issued) of keys without an event; options as in ``draw_event_date``."""
+    rows = keys.drop(issued)
+    return draw_event_date(rows, event_dates, key, issued, issued, **how).select(key, issued)
