@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import bindings as B
 from checks.registry import query, rounded, s6
 from propensia.operators import evaluation as E, explain as X, features as R, models as M, quality as Q, sampling as V
-from propensia.session import shared_path
+from propensia.session import shared_path, stage
 from propensia.sources.artifacts import ArtifactStore
 
 sql = B.sql
@@ -19,19 +19,19 @@ KEEP = ["vec_id", "label", "fold", "model", "prediction", "probability"]
 
 
 def _train(spark, sf):
-    """Scaled vectors with folds."""
+    """Scaled vectors with folds, written once for the many fits reading them."""
     rows = V.stratified_folds(B.vectors(spark, sf), "vec_id", "label", FOLDS)
-    return R.standard_scale(rows, B.FEATURES)
+    return stage(R.standard_scale(rows, B.FEATURES), "train")
 
 
 def _oof(spark, sf, spec):
-    rows = _train(spark, sf).persist()
+    rows = _train(spark, sf)
     return M.grid_search_cv(rows, spec(rows.count()), "vec_id", B.FEATURES, FOLDS).oof.select(*KEEP)
 
 
 @query("v5_grid_search_cv")
 def v5(spark, sf):
-    rows = _train(spark, sf).persist()
+    rows = _train(spark, sf)
     specs = [M.logistic_l2(rows.count(), (0.01, 1), ITER), M.decision_tree((3, 5), (2,))]
     return M.grid_frame(spark, [M.grid_search_cv(rows, s, "vec_id", B.FEATURES, FOLDS) for s in specs])
 
@@ -58,12 +58,12 @@ def m3(spark, sf):
 
 @query("m4_svm_linear")
 def m4(spark, sf):
-    return _oof(spark, sf, lambda n: M.svm(n, (1,), (0,), ITER))
+    return _oof(spark, sf, lambda n: M.svm(n, (1,), (0,), 10))
 
 
 @query("m5_svm_rbf_approx")
 def m5(spark, sf):
-    return _oof(spark, sf, lambda n: M.svm(n, (1,), (128,), ITER))
+    return _oof(spark, sf, lambda n: M.svm(n, (1,), (128,), 10))
 
 
 @query("m6_decision_tree")
@@ -83,11 +83,11 @@ def knn_model(spark, sf):
 
 @query("m8_lasso_select")
 def m8(spark, sf):
-    return M.lasso_select(_train(spark, sf).persist(), B.FEATURES, FOLDS, cs=(0.03, 0.3), max_iter=ITER)
+    return M.lasso_select(_train(spark, sf), B.FEATURES, FOLDS, cs=(0.3, 1), max_iter=ITER)
 
 
 def _split(spark, sf):
-    rows = V.stratified_holdout(B.vectors(spark, sf), "vec_id", "label").persist()
+    rows = stage(V.stratified_holdout(B.vectors(spark, sf), "vec_id", "label"), "split")
     train, test = rows.filter("not is_test"), rows.filter("is_test")
     scale = R.fit_standard_scale(train, B.FEATURES)
     return R.apply_standard_scale(train, scale), R.apply_standard_scale(test, scale)
@@ -96,8 +96,8 @@ def _split(spark, sf):
 @query("m9_reduced_model")
 def m9(spark, sf):
     train, test = _split(spark, sf)
-    folded = V.stratified_folds(train, "vec_id", "label", FOLDS).persist()
-    kept = [r["feature"] for r in M.lasso_select(folded, B.FEATURES, FOLDS, cs=(0.1, 0.3), max_iter=ITER).collect()] or B.FEATURES
+    folded = stage(V.stratified_folds(train, "vec_id", "label", FOLDS), "train")
+    kept = [r["feature"] for r in M.lasso_select(folded, B.FEATURES, FOLDS, cs=(0.3, 1), max_iter=ITER).collect()] or B.FEATURES
     scored = M.score(M.reduced_model(train, kept, max_iter=ITER), M.assemble(test, kept), ["vec_id", "label"])
     return E.binary_metrics(scored)
 
@@ -105,13 +105,13 @@ def m9(spark, sf):
 @query("m10_oof_predictions")
 def m10(spark, sf):
     lr = M.logistic_l2(500, (1,), ITER).estimator
-    return M.oof_predictions(_train(spark, sf).persist(), lr, "vec_id", B.FEATURES, FOLDS)
+    return M.oof_predictions(_train(spark, sf), lr, "vec_id", B.FEATURES, FOLDS)
 
 
 @query("e10_final_assessment")
 def e10(spark, sf):
     train, test = _split(spark, sf)
-    folded = V.stratified_folds(train, "vec_id", "label", FOLDS).persist()
+    folded = stage(V.stratified_folds(train, "vec_id", "label", FOLDS), "train")
     specs = [M.logistic_l2(folded.count(), (0.1,), ITER), M.decision_tree((5,), (2,))]
     best = M.pick_best([M.grid_search_cv(folded, s, "vec_id", B.FEATURES, FOLDS) for s in specs])
     scored = M.score(best.model, M.assemble(test, B.FEATURES), ["vec_id", "label"])
@@ -122,7 +122,7 @@ def e10(spark, sf):
 
 @query("s3_artifact_sink")
 def s3(spark, sf):
-    rows = _train(spark, sf).persist()
+    rows = _train(spark, sf)
     store = ArtifactStore(spark, shared_path(spark, "artifacts"))
     done = M.grid_search_cv(rows, M.logistic_l2(rows.count(), (0.1,), ITER), "vec_id", B.FEATURES, FOLDS)
     store.predictions(done.name, lambda: done.oof)

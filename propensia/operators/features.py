@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from propensia.functions.codes import FEATURE_PERIODS, RATIO_EPSILON
@@ -104,20 +106,29 @@ def one_hot_ignore(df: DataFrame, domains: Mapping[str, Sequence[str]], missing:
 
 # ---- numeric columns ---------------------------------------------------------------------
 
-def fit_standard_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(mean, population standard deviation) per column, one pass."""
-    row = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
+def fit_standard_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+    """(mean, population standard deviation) per column, nulls skipped.
+
+    One vector summary covers any number of columns; columns with gaps, which it cannot skip, get
+    plain aggregates in a second pass.
+    """
+    rows = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="keep").transform(df)
+    s = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    if not s["count"]:
+        return {c: (None, None) for c in cols}
+    unbias = (s["count"] - 1) / s["count"]
+    fit = {c: (float(m), (float(v) * unbias) ** 0.5) for c, m, v in zip(cols, s["mean"], s["variance"])}
+    gappy = [c for c, (m, _) in fit.items() if m != m]
+    if gappy:
+        row = df.agg(*[F.expr(f"avg({c})") for c in gappy], *[F.expr(f"stddev_pop({c})") for c in gappy]).first()
+        fit.update({c: (row[i], row[i + len(gappy)]) for i, c in enumerate(gappy)})
+    return fit
 
 
 def apply_standard_scale(df: DataFrame, fit: Mapping[str, tuple[float, float]]) -> DataFrame:
     """(x - mean) / deviation; a constant column becomes 0."""
-    return df.withColumns(
-        {c: (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0) for c, (m, s) in fit.items() if m is not None}
-    )
+    cells = {c: F.expr(f"({c} - {m!r}D) / {(s if s and s > 1e-12 * abs(m) else 1.0)!r}D") for c, (m, s) in fit.items() if m is not None}
+    return df.withColumns(cells)
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

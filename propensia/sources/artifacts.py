@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """True when a finished write (its success marker) is at ``path``."""
-    try:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path)
-    except Exception:  # the folder does not exist
-        return False
-    return bool(found.inputFiles())
+    """True when a finished write (its success marker) is at ``path``, on any file system Spark reads."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 class ArtifactStore:
