@@ -198,7 +198,7 @@ def _smote_sql():
     draws as (select i, ((i * 7919 + 43) % (5 * n)) // 5 + 1 as base, ((i * 7919 + 43) % (5 * n)) % 5 + 1 as nth,
       cast((i * 104729 + 11) % 1000 as double) / 1000.0 as u from (select count(*) filter (label = 1) as n,
       count(*) filter (label = 0) - count(*) filter (label = 1) as need from vectors), range(1000000) t(i) where i < need)
-    select cast(null as bigint) as vec_id, 1 as label, true as synthetic, {cells} from draws d join small a on a.base = d.base
+    select -(i + 1) as vec_id, 1 as label, true as synthetic, {cells} from draws d join small a on a.base = d.base
       join near n on n.base_id = a.vec_id and n.nth = d.nth join vectors b on b.vec_id = n.neighbor_id
     union all select vec_id, label, false, {own} from vectors"""
 

@@ -49,12 +49,13 @@ def smote(
     """Synthetic minority rows that balance the two classes (Chawla et al. 2002), appended.
 
     Each synthetic row i draws a (minority row, neighbour) pair uniformly and a point on the segment
-    between them, all as functions of i. The key takes no part in distances. Added rows have a null
-    key and ``synthetic`` true. ``draw(i, n)`` and ``step(i)`` replace the default hash draws.
+    between them, all as functions of i. The key takes no part in distances. Added rows have the key
+    -(i + 1) and ``synthetic`` true. ``draw(i, n)`` and ``step(i)`` replace the default hash draws.
     """
     spark = df.sparkSession
     sizes = {r[label]: r["count"] for r in class_balance(df, label).collect()}
-    marked = df.select(key, label, *features).withColumn("synthetic", F.lit(False))
+    values = [F.col(c).cast("double").alias(c) for c in features]
+    marked = df.select(key, label, *values).withColumn("synthetic", F.lit(False))
     if len(sizes) != 2:
         raise ValueError("balancing needs exactly two classes")
     minority, n_min = min(sizes.items(), key=lambda kv: kv[1])
@@ -81,7 +82,7 @@ def smote(
         .withColumn("_x", F.zip_with("a", "b", lambda a, b: a + F.col("u") * (b - a)))
     )
     made = points.select(
-        F.lit(None).cast(df.schema[key].dataType).alias(key),
+        (-(i + 1)).cast(df.schema[key].dataType).alias(key),
         F.lit(minority).cast(df.schema[label].dataType).alias(label),
         *[F.get("_x", F.lit(j)).alias(c) for j, c in enumerate(features)],
         F.lit(True).alias("synthetic"),
