@@ -183,6 +183,11 @@ MODULUS = 1_000_003
 _HASH = f"(vec_id * 7919 + 43) % {MODULUS}"
 
 
+def _fold(rank, size, folds):
+    """Number of section ends (size * f // folds) before a rank."""
+    return "cast(" + " + ".join(f"case when {rank} > {size} * {f} // {folds} then 1 else 0 end" for f in range(1, folds)) + " as int)"
+
+
 def _hash(key="vec_id"):
     return (F.col(key) * 7919 + 43) % MODULUS
 
@@ -224,7 +229,7 @@ def v3(spark, sf):
     return V.stratified_holdout(rows, "vec_id", "label", hash_value=_hash(), modulus=MODULUS)
 
 
-@query("v4_stratified_folds", sql(f"""select vec_id, label, cast((row_number() over (partition by label order by {_HASH}, vec_id) - 1) % 10 as int) as fold from vectors"""))
+@query("v4_stratified_folds", sql(f"""select vec_id, label, {_fold('row_number() over (partition by label order by ' + _HASH + ', vec_id)', 'count(*) over (partition by label)', 10)} as fold from vectors"""))
 def v4(spark, sf):
     rows = B.vectors(spark, sf).select("vec_id", "label")
     return V.stratified_folds(rows, "vec_id", "label", hash_value=_hash(), modulus=MODULUS)
@@ -314,7 +319,7 @@ def e4(spark, sf):
     return rounded(E.roc_auc(_scored(spark, sf), group=["model"]), "roc_auc")
 
 
-_FOLD = f"(select *, cast((row_number() over (partition by model, label order by (doc_id * 7919 + 43) % {MODULUS}, doc_id) - 1) % 3 as int) as fold from scores)"
+_FOLD = f"(select *, {_fold('row_number() over (partition by model, label order by (doc_id * 7919 + 43) % 1000003, doc_id)', 'count(*) over (partition by model, label)', 3)} as fold from scores)"
 _ORDER = ["roc_auc", "precision", "recall", "accuracy", "f1", "kappa", "mcc"]
 
 

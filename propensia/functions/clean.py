@@ -21,8 +21,7 @@ def parse_compact_date(col: ColumnLike) -> Column:
     text = F.substring(_c(col).cast("string"), 1, 6)
     year = F.substring(text, 1, 2).try_cast("int")
     century = F.when(year >= 69, "19").when(year < 69, "20")
-    valid = text.rlike("^[0-9]{6}$")
-    return F.when(valid, F.try_to_date(F.concat(century, text), "yyyyMMdd"))
+    return F.try_to_date(F.concat(century, text), "yyyyMMdd")
 
 
 def to_period(col: ColumnLike, unit: str = "month") -> Column:

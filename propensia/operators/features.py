@@ -66,10 +66,15 @@ def melt_windows(df: DataFrame, key: str, measure: str, horizon: int) -> DataFra
 
 # ---- indicators --------------------------------------------------------------------------
 
+def indicator_name(name: str, value: str) -> str:
+    """Column of one category value; dots would read as struct access."""
+    return f"{name}_{value}".replace(".", "_")
+
+
 def one_hot_drop_first(df: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFrame:
     """Replace category columns by 0/1 columns ``name_value`` for every domain value but the first."""
     cells = {
-        f"{name}_{v}": F.coalesce((F.col(name) == v).cast("int"), F.lit(0))
+        indicator_name(name, v): F.coalesce((F.col(name) == v).cast("int"), F.lit(0))
         for name, values in domains.items()
         for v in values[1:]
     }
@@ -100,7 +105,7 @@ def fit_domains(df: DataFrame, cols: Sequence[str], missing: str = "missing", mo
 def one_hot_ignore(df: DataFrame, domains: Mapping[str, Sequence[str]], missing: str = "missing") -> DataFrame:
     """Indicators of every fitted category; missing is a category, unseen values are all zero."""
     filled = const_impute(df, list(domains), missing)
-    cells = {f"{n}_{v}": (F.col(n) == v).cast("int") for n, values in domains.items() for v in values}
+    cells = {indicator_name(n, v): (F.col(n) == v).cast("int") for n, values in domains.items() for v in values}
     return filled.withColumns(cells).drop(*domains)
 
 
@@ -120,14 +125,14 @@ def fit_standard_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[fl
     fit = {c: (float(m), (float(v) * unbias) ** 0.5) for c, m, v in zip(cols, s["mean"], s["variance"])}
     gappy = [c for c, (m, _) in fit.items() if m != m]
     if gappy:
-        row = df.agg(*[F.expr(f"avg({c})") for c in gappy], *[F.expr(f"stddev_pop({c})") for c in gappy]).first()
+        row = df.agg(*[F.avg(c) for c in gappy], *[F.stddev_pop(c) for c in gappy]).first()
         fit.update({c: (row[i], row[i + len(gappy)]) for i, c in enumerate(gappy)})
     return fit
 
 
 def apply_standard_scale(df: DataFrame, fit: Mapping[str, tuple[float, float]]) -> DataFrame:
     """(x - mean) / deviation; a constant column becomes 0."""
-    cells = {c: F.expr(f"({c} - {m!r}D) / {(s if s and s > 1e-12 * abs(m) else 1.0)!r}D") for c, (m, s) in fit.items() if m is not None}
+    cells = {c: F.expr(f"(`{c}` - {m!r}D) / {(s if s and s > 1e-12 * abs(m) else 1.0)!r}D") for c, (m, s) in fit.items() if m is not None}
     return df.withColumns(cells)
 
 
@@ -170,4 +175,4 @@ class ColumnTransform:
 
     def feature_names(self) -> list[str]:
         """Columns the transform produces, in order."""
-        return self.numeric + [f"{n}_{v}" for n, values in self.domains.items() for v in values]
+        return self.numeric + [indicator_name(n, v) for n, values in self.domains.items() for v in values]

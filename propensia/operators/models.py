@@ -361,7 +361,7 @@ def grid_search_cv(df: DataFrame, spec: ModelSpec, key: str, features: Sequence[
     The assembled rows are written once and read by every fit. The models fitted per fold are kept,
     so the out-of-fold scores of the best point need no further fit.
     """
-    rows = stage(assemble(df, spec.features or features).select(key, label, fold_col, "features"), "training")
+    rows = stage(assemble(df, spec.features or features).select(key, label, fold_col, "features"), "training", rebalance=True)
     accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     search = CrossValidator(
         estimator=spec.estimator, estimatorParamMaps=spec.grid, evaluator=accuracy, numFolds=folds,
@@ -378,7 +378,7 @@ def grid_search_cv(df: DataFrame, spec: ModelSpec, key: str, features: Sequence[
 
 def oof_predictions(df: DataFrame, estimator: Estimator, key: str, features: Sequence[str], folds: int, fold_col: str = "fold", label: str = "label") -> DataFrame:
     """One score per row from a model that did not see the row's fold."""
-    rows = stage(assemble(df, features).select(key, label, fold_col, "features"), "training")
+    rows = stage(assemble(df, features).select(key, label, fold_col, "features"), "training", rebalance=True)
     out = None
     for fold in range(folds):
         inside = F.col(fold_col) == fold
@@ -418,7 +418,7 @@ def lasso_select(df: DataFrame, features: Sequence[str], folds: int, key: str =
     strengths = np.logspace(-4, 0, 50) if cs is None else cs
     lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=max_iter)
     spec = ModelSpec("lasso", lr, _grid(lr, regParam=[ridge_strength(float(c), n) for c in strengths]))
-    rows = stage(assemble(df, features).select(label, fold_col, "features"), "training")
+    rows = stage(assemble(df, features).select(label, fold_col, "features"), "training", rebalance=True)
     search = CrossValidator(
         estimator=lr, estimatorParamMaps=spec.grid, numFolds=folds, foldCol=fold_col, parallelism=4,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),

@@ -7,12 +7,13 @@ windows and joins stay small whatever the data size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from propensia.functions.hashing import MODULUS
-from propensia.session import parallel_buckets
+from propensia.session import parallel_buckets, stage
 
 
 def _offsets(sums: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -55,6 +56,58 @@ def hash_rank(
     )
 
 
+def hash_cuts(
+    df: DataFrame,
+    group: str,
+    hash_value: Column,
+    key: str,
+    positions: Callable[[int], Sequence[int]],
+    modulus: int = MODULUS,
+    buckets: int | None = None,
+) -> dict[object, list[tuple[int, object]]]:
+    """Per group value, the (hash, key) found at given 1-based ranks of that group's hash order.
+
+    ``positions(n)`` lists the ranks wanted of a group of n rows; rows without a group are left out. Cutting at these values assigns rows
+    by rank without moving them: only counts per slice of the hash range are shuffled, and then the
+    rows of the few slices a wanted rank falls into.
+    """
+    buckets = buckets or 4 * parallel_buckets(df.sparkSession)
+    rows = df.select(
+        F.col(group).alias("g"), F.col(key).alias("key"), hash_value.alias("h")
+    ).filter(F.col("g").isNotNull()).withColumn("b", F.floor(F.col("h") * F.lit(buckets) / F.lit(modulus)).cast("int"))
+    counts: dict[object, dict[int, int]] = {}
+    for r in rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # groups x buckets rows
+        counts.setdefault(r["g"], {})[r["b"]] = r["n"]
+    wanted = []
+    for g, sizes in counts.items():
+        before, at = 0, list(positions(sum(sizes.values())))
+        for b in sorted(sizes):
+            wanted += [(g, b, pos - before, i) for i, pos in enumerate(at) if before < pos <= before + sizes[b]]
+            before += sizes[b]
+    cuts: dict[object, list] = {g: [] for g in counts}
+    if wanted:
+        kind = df.schema[group].dataType.simpleString()
+        table = df.sparkSession.createDataFrame(wanted, f"g {kind}, b int, r int, i int")
+        slices = table.select("g", "b").distinct()
+        order = W.partitionBy("g", "b").orderBy("h", "key")
+        ranked = rows.join(slices, ["g", "b"], "left_semi").withColumn("r", F.row_number().over(order))
+        for r in ranked.join(table, ["g", "b", "r"]).orderBy("i").collect():
+            cuts[r["g"]].append((r["h"], r["key"]))
+    return cuts
+
+
+def rank_section(group: str, hash_value: Column, key: str, cuts: dict[object, list[tuple[int, object]]]) -> Column:
+    """How many of its group's cuts a row lies behind: 0 up to and including the first cut."""
+    out = F.lit(None).cast("int")
+    for g, at in cuts.items():
+        section = F.lit(0)
+        for h, k in at:
+            behind = (hash_value > F.lit(h)) | ((hash_value == F.lit(h)) & (F.col(key) > F.lit(k)))
+            section = section + behind.cast("int")
+        out = F.when(F.col(group) == F.lit(g), section).otherwise(out)
+    return out
+
+
 def prefix_sums(
     df: DataFrame,
     group: Sequence[str],
@@ -64,15 +117,16 @@ def prefix_sums(
 ) -> DataFrame:
     """Inclusive running sums ``cum_<value>`` in ascending ``order`` inside each group.
 
-    ``df`` has one row per (group, order). Bucket borders are quantiles taken once on the driver
-    (groups x buckets numbers); they only balance the work, the sums are exact for any borders.
+    ``df`` has one row per (group, order); it is written once, as three passes read it and all have
+    to see the same rows. Bucket borders are quantiles taken on the driver (groups x buckets
+    numbers); they only balance the work, the sums are exact for any borders.
     """
     spark = df.sparkSession
     buckets = buckets or parallel_buckets(spark, 256)
-    df, keys = _keyed(df, group)
+    df, keys = _keyed(stage(df, "steps"), group)
     if buckets > 1:
         cuts = [i / buckets for i in range(1, buckets)]
-        borders = df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 10_000).alias("_cuts"))
+        borders = df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 8 * buckets).alias("_cuts"))
         table = spark.createDataFrame(borders.collect(), borders.schema)
         df = (
             df.join(table, keys)
@@ -91,32 +145,47 @@ def prefix_sums(
     )
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, accuracy: int = 1000) -> DataFrame:
     """(column, value): exact interpolated quantile of each numeric column, nulls skipped.
 
-    Values are counted per distinct value before any ordering, so a value holding a large share
-    of the rows is one row by then.
+    A sketch per column brackets the wanted rank within n/accuracy rows; values below the bracket are
+    only counted, and the few inside are counted per distinct value and ordered. So next to nothing
+    is shuffled, and a value holding a large share of the rows is one row by then.
     """
-    counted = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    spark = df.sparkSession
+    long = (
+        df.select(*[F.expr(f"cast(`{c}` as double) as `{c}`") for c in cols])
         .unpivot([], list(cols), "column", "v")
         .filter(F.col("v").isNotNull())
-        .groupBy("column", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
-    running = prefix_sums(counted, ["column"], "v", ["n"])
-    sizes = counted.groupBy("column").agg(F.sum("n").alias("total"))
+    slack = 2.0 / accuracy
+    edges = [max(0.0, q - slack), min(1.0, q + slack)]
+    sketch = long.groupBy("column").agg(
+        F.percentile_approx("v", edges, accuracy).alias("e"), F.count(F.lit(1)).alias("total")
+    )
+    bracket = [
+        (r["column"], r["total"], -math.inf if q <= slack else r["e"][0], math.inf if q >= 1 - slack else r["e"][1])
+        for r in sketch.collect()  # one row per column
+    ]
+    table = spark.createDataFrame(bracket, "column string, total long, low double, high double")
+    placed = long.join(table, "column").filter(F.col("v") <= F.col("high"))
+    below = F.col("v") < F.col("low")
+    counted = placed.groupBy(
+        "column", "total", F.when(~below, F.col("v")).alias("v")  # null: everything below the bracket
+    ).agg(F.count(F.lit(1)).alias("n"))
+    counted = stage(counted, "values")
+    under = counted.filter(F.col("v").isNull()).select("column", F.col("n").alias("under"))
+    inside = prefix_sums(counted.filter(F.col("v").isNotNull()), ["column"], "v", ["n"])
     at = (F.col("total") - 1) * F.lit(q)
-    low, high = F.floor(at), F.ceil(at)
-    covers = lambda pos: (F.col("cum_n") > pos) & (F.col("cum_n") - F.col("n") <= pos)
+    upto = F.col("cum_n") + F.coalesce("under", F.lit(0))
+    covers = lambda pos: (upto > pos) & (upto - F.col("n") <= pos)
     return (
-        running.join(sizes, "column")
-        .filter(covers(low) | covers(high))
+        inside.join(under, "column", "left")
         .groupBy("column")
         .agg(
-            F.max(F.when(covers(low), F.col("v"))).alias("lo"),
-            F.max(F.when(covers(high), F.col("v"))).alias("hi"),
-            F.max(at - low).alias("part"),
+            F.max(F.when(covers(F.floor(at)), F.col("v"))).alias("lo"),
+            F.max(F.when(covers(F.ceil(at)), F.col("v"))).alias("hi"),
+            F.max(at - F.floor(at)).alias("part"),
         )
         .select("column", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propensia.functions.hashing import MODULUS, key_hash, unit_hash
 from propensia.operators.neighbors import _vectors, knn_join
-from propensia.operators.ranking import hash_rank
+from propensia.operators.ranking import hash_cuts, hash_rank, rank_section
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -19,19 +20,23 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.1, seed: int = 42, hash_value: Column | None = None, modulus: int = MODULUS, out: str = "is_test") -> DataFrame:
     """Mark ceil(share x class size) rows of every class as test rows.
 
-    The side depends on the key alone, so feature sets over the same keys split alike.
+    The rows with the smallest key hashes of a class are taken; the cut is found first and then
+    applied in place, so wide rows are not shuffled. The side depends on the key alone: feature sets
+    over the same keys split alike.
     """
     value = key_hash(key, seed=seed) if hash_value is None else hash_value
-    ranked = hash_rank(df, [label], value, key, "_rank", modulus)
-    sizes = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("_take"))
-    return ranked.join(sizes, label).withColumn(out, F.col("_rank") <= F.col("_take")).drop("_rank", "_take")
+    cuts = hash_cuts(df, label, value, key, lambda n: [math.ceil(share * n)], modulus)
+    return df.withColumn(out, rank_section(label, value, key, cuts) == 0)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 10, seed: int = 42, hash_value: Column | None = None, modulus: int = MODULUS, out: str = "fold") -> DataFrame:
-    """Fold number 0..folds-1 per row; the folds of a class differ by at most one row."""
+    """Fold number 0..folds-1 per row; the folds of a class differ by at most one row.
+
+    A fold is a section of the class in key-hash order, assigned in place like the hold-out.
+    """
     value = key_hash(key, seed=seed) if hash_value is None else hash_value
-    ranked = hash_rank(df, [label], value, key, "_rank", modulus)
-    return ranked.withColumn(out, F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_rank")
+    cuts = hash_cuts(df, label, value, key, lambda n: [n * f // folds for f in range(1, folds)], modulus)
+    return df.withColumn(out, rank_section(label, value, key, cuts))
 
 
 def smote(

@@ -60,12 +60,16 @@ def clean_loan(raw: DataFrame) -> DataFrame:
 
 
 def clean_order(account: DataFrame, raw: DataFrame) -> DataFrame:
-    """One row per account with the summed amount per order symbol."""
+    """One row per account with the summed amount per order symbol, 0 without orders.
+
+    Orders are summed before they meet the account spine, so an account with very many of them
+    reaches the join as one row.
+    """
     coded = raw.select(
         "account_id", "amount", C.recode_strict("k_symbol", codes.ORDER_SYMBOL, "unknown").alias("k_symbol")
     )
-    every = J.spine_join(account.select("account_id"), coded, "account_id", {"k_symbol": "unknown", "amount": 0})
-    return A.pivot_sum(every, "account_id", "k_symbol", "amount", ORDER_DOMAIN)
+    sums = A.pivot_sum(coded, "account_id", "k_symbol", "amount", ORDER_DOMAIN)
+    return J.spine_join(account.select("account_id"), sums, "account_id", {c: 0 for c in ORDER_DOMAIN})
 
 
 def clean_trans(raw: DataFrame) -> DataFrame:

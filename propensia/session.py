@@ -45,13 +45,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "propensia", f"{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of a frame that several jobs read. The written table outlives executors,
     and its size is known to the planner, which then picks broadcast joins by measured size.
+    ``rebalance`` evens out the files first (AQE merges small and splits large parts); worth its
+    shuffle for rows that an iterative fit reads hundreds of times.
     """
     path = shared_path(df.sparkSession, name)
+    if rebalance:
+        df = df.hint("rebalance")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

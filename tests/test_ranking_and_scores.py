@@ -47,6 +47,21 @@ def test_exact_quantiles(spark):
         assert abs(got["a"] - np.quantile(a, q)) < 1e-12 and abs(got["b"] - np.quantile(kept, q)) < 1e-12
 
 
+def test_exact_quantiles_with_a_tight_bracket(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.lognormal(size=4000), 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(6)
+    for q in (0.1, 0.5, 0.75):
+        got = K.exact_quantiles(df, ["v"], q, accuracy=100).first()["value"]
+        assert abs(got - np.quantile(v, q)) < 1e-12
+
+
+def test_rows_without_a_class_get_no_fold(spark):
+    df = spark.range(30).withColumn("label", F.when(F.col("id") < 10, 1).when(F.col("id") < 20, 0))
+    got = V.stratified_folds(df, "id", "label", 2).filter("label is null")
+    assert got.count() == 10 and got.filter("fold is not null").isEmpty()
+
+
 def test_folds_and_holdout_are_stratified(spark):
     df = spark.range(1000).withColumn("label", (F.col("id") < 137).cast("int"))
     folds = V.stratified_folds(df, "id", "label", 10).groupBy("fold", "label").count().collect()
