@@ -12,7 +12,7 @@ from propensia.plans import bank
 
 sql = B.sql
 _TRANS = ["trans_id", "account_id", "date", "type", "operation", "amount", "balance", "k_symbol", "bank", "account"]
-_TRANS_TYPES = ["bigint", "bigint", "string", "string", "string", "decimal(18,2)", "decimal(18,2)", "string", "string", "bigint"]
+_TRANS_TYPES = ["bigint", "bigint", "string", "string", "string", "decimal(8,2)", "decimal(18,2)", "string", "string", "bigint"]
 _RAW_TRANS = "(select *, cast(null as varchar) as bank, cast(null as bigint) as account from raw_trans)"
 
 

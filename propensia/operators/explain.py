@@ -49,6 +49,7 @@ def lime_explain(
     noisy = (
         _row(rows, key, features)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        .repartition("key", "i")  # few rows become many; spread them before drawing and scoring
         .withColumn("z", F.transform(F.sequence(F.lit(0), last), lambda j: F.when(
             F.col("i") == 0, F.lit(0.0)).otherwise(normal_hash(F.col("key"), F.col("i"), j, seed=seed))))
         .withColumn("vec", F.transform("x", lambda v, j: v + F.get("z", j) * F.get(scale, j)))
@@ -95,6 +96,7 @@ def shap_values(
     walks = (
         _row(rows, key, features)
         .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+        .repartition("key", "walk")  # spreads the scoring, and the window below needs no other exchange
         .withColumn("_pool", pool)
         .withColumn("b", F.get("_pool", F.pmod(key_hash("key", "walk", seed=seed), F.size("_pool")).cast("int")))
         .withColumn("order", F.transform(

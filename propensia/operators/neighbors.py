@@ -116,7 +116,7 @@ def knn_join(
     donors: DataFrame,
     k: int,
     exclude_self: bool = False,
-    pivots: int = 64,
+    pivots: int = 512,
     block_rows: int = 4096,
 ) -> DataFrame:
     """(id, target, rank, neighbor_id, distance, value): the k nearest donors of every query.

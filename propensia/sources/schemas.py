@@ -1,11 +1,16 @@
-"""Declared schemas of the eight input tables. Compact dates and bank codes stay text on read."""
+"""Declared schemas of the eight input tables. Compact dates and bank codes stay text on read.
+
+Money to be summed is DECIMAL(8,2): Spark sums decimals of at most eight digits as machine integers
+(twice as fast as wider ones) into DECIMAL(18,2), exactly and in any order. A larger single amount
+fails the read; pass a wider schema then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
 _L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
-_MONEY = T.DecimalType(18, 2)
+_MONEY, _BALANCE = T.DecimalType(8, 2), T.DecimalType(18, 2)
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -30,7 +35,7 @@ ORDER = _schema(
 )
 TRANS = _schema(
     ("trans_id", _L), ("account_id", _L), ("date", _S), ("type", _S), ("operation", _S),
-    ("amount", _MONEY), ("balance", _MONEY), ("k_symbol", _S), ("bank", _S), ("account", _L),
+    ("amount", _MONEY), ("balance", _BALANCE), ("k_symbol", _S), ("bank", _S), ("account", _L),
 )
 
 TABLES = {

@@ -10,12 +10,13 @@ from propensia.sources.schemas import TABLES
 
 
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";") -> DataFrame:
-    """A headed, double-quoted text table with a declared schema (no inference pass)."""
+    """A headed, double-quoted text table with a declared schema; header names must match it."""
     return (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
         .option("quote", '"')
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
