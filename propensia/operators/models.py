@@ -23,11 +23,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam, HasSeed
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+    MLWritable, MLWriter,
+)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propensia.operators.evaluation import BEST_WEIGHTS, cv_metrics, weighted_best
-from propensia.operators.neighbors import knn_join
+from propensia.operators.neighbors import knn_join, vote_share
 from propensia.session import stage
 
 
@@ -228,13 +231,15 @@ class CalibratedSvcModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPa
 
 # ---- nearest neighbours ------------------------------------------------------------------
 
-class KnnClassifier(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Votes of the k nearest training rows through the exact neighbour join."""
-
+class _Knn(HasFeaturesCol):
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
     keyCol = Param(Params._dummy(), "keyCol", "row key", TypeConverters.toString)
 
+
+class KnnClassifier(Estimator, _Knn, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Votes of the k nearest training rows through the exact neighbour join."""
+
     @keyword_only
     def __init__(self, *, k=5, weights="uniform", keyCol="key", featuresCol="features", labelCol="label"):
         super().__init__()
@@ -246,28 +251,52 @@ class KnnClassifier(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
             F.col(self.getOrDefault(self.keyCol)).alias("id"), vector_to_array(self.getFeaturesCol()).alias("vec"),
             F.col(self.getLabelCol()).cast("double").alias("payload"),
         )
-        model = KnnClassifierModel(donors, self.getOrDefault(self.k), self.getOrDefault(self.weights), self.getOrDefault(self.keyCol))
-        return model._set(featuresCol=self.getFeaturesCol())
+        model = KnnClassifierModel(donors)
+        return model._set(
+            featuresCol=self.getFeaturesCol(), k=self.getOrDefault(self.k),
+            weights=self.getOrDefault(self.weights), keyCol=self.getOrDefault(self.keyCol),
+        )
 
 
-class KnnClassifierModel(Model, HasFeaturesCol):
-    """Holds the training frame; scoring joins against it."""
+class KnnClassifierModel(Model, _Knn, MLWritable, MLReadable):
+    """Scoring joins against the training rows, which are stored next to the parameters."""
 
-    def __init__(self, donors: DataFrame, k: int, weights: str, key: str):
+    def __init__(self, donors: DataFrame | None = None):
         super().__init__()
-        self._donors, self._k, self._weights, self._key = donors, k, weights, key
+        self.donors = donors
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        queries = df.select(F.col(self._key).alias("id"), vector_to_array(self.getFeaturesCol()).alias("vec"))
-        near = knn_join(queries, self._donors, self._k)
-        zero = F.col("distance") == 0
-        weight = F.when(~zero, 1 / F.col("distance"))
-        p = (
-            F.avg("value") if self._weights == "uniform"
-            else F.coalesce(F.avg(F.when(zero, F.col("value"))), F.try_divide(F.sum(weight * F.col("value")), F.sum(weight)))
-        )
-        votes = near.groupBy(F.col("id").alias(self._key)).agg(p.alias("_vote"))
-        return _with_probability(df.join(votes, self._key), F.col("_vote")).drop("_vote")
+        key = self.getOrDefault(self.keyCol)
+        queries = df.select(F.col(key).alias("id"), vector_to_array(self.getFeaturesCol()).alias("vec"))
+        near = knn_join(queries, self.donors, self.getOrDefault(self.k))
+        votes = near.groupBy(F.col("id").alias(key)).agg(vote_share(self.getOrDefault(self.weights)).alias("_vote"))
+        return _with_probability(df.join(votes, key), F.col("_vote")).drop("_vote")
+
+    def write(self) -> MLWriter:
+        return _KnnWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KnnReader()
+
+
+class _KnnWriter(MLWriter):
+    def __init__(self, model: KnnClassifierModel):
+        super().__init__()
+        self._model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self._model, path, self.sparkSession)
+        self._model.donors.write.parquet(f"{path}/donors")
+
+
+class _KnnReader(MLReader):
+    def load(self, path: str) -> KnnClassifierModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KnnClassifierModel(self.sparkSession.read.parquet(f"{path}/donors"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
 
 # ---- model list --------------------------------------------------------------------------

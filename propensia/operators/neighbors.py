@@ -201,17 +201,20 @@ def knn_classify(
     """
     queries, donors = _vectors(test, key, features), _vectors(train, key, features, label)
     near = knn_join(queries, donors, k)
+    votes = near.groupBy(F.col("id").alias(key)).agg(vote_share(weights).alias("probability"))
+    return votes.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+
+
+def vote_share(weights: str) -> Column:
+    """Share of class-1 votes in a group of neighbour rows."""
     if weights == "uniform":
-        share = F.avg("value")
-    elif weights == "distance":
-        zero = F.col("distance") == 0
-        at_zero = F.avg(F.when(zero, F.col("value")))
-        weight = F.when(~zero, 1 / F.col("distance"))
-        share = F.coalesce(at_zero, F.try_divide(F.sum(weight * F.col("value")), F.sum(weight)))
-    else:
+        return F.avg("value")
+    if weights != "distance":
         raise ValueError(f"weights {weights!r}: use 'uniform' or 'distance'")
-    votes = near.groupBy(F.col("id").alias(key)).agg(share.alias("probability"))
-    return votes.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+    zero = F.col("distance") == 0
+    weight = F.when(~zero, 1 / F.col("distance"))
+    at_zero = F.avg(F.when(zero, F.col("value")))
+    return F.coalesce(at_zero, F.try_divide(F.sum(weight * F.col("value")), F.sum(weight)))
 
 
 def _vectors(df: DataFrame, key: str, features: Sequence[str], label: str | None = None) -> DataFrame:

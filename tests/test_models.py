@@ -43,7 +43,7 @@ def test_models_beat_the_prior_out_of_fold(rows, name):
     assert E.binary_metrics(done.oof).first()["accuracy"] > 0.7
 
 
-def test_full_grids_have_the_stated_sizes():
+def test_full_grids_have_the_stated_sizes(spark):
     specs = M.model_list(1000, "key", COLS)
     assert [len(s.grid) for s in specs] == [4, 4, 5, 9, 9, 6, 6, 9, 1]
     assert sum(len(s.grid) for s in specs) == 53
@@ -60,7 +60,7 @@ def test_lasso_drops_noise_and_reduced_model_scores(rows):
 def test_stored_models_are_not_fitted_again(spark, rows):
     store = ArtifactStore(spark, shared_path(spark, "store"))
     data = M.assemble(rows, COLS)
-    for name, estimator in (("boosted", M.AdaBoostSamme(maxIter=4)), ("svm", M.CalibratedSvc(maxIter=5))):
+    for name, estimator in (("knn", M.KnnClassifier(k=3, weights="distance")), ("svm", M.CalibratedSvc(maxIter=3)), ("boosted", M.AdaBoostSamme(maxIter=3))):
         first = store.model(name, lambda: M.as_stored(estimator.fit(data)))
         again = store.model(name, lambda: pytest.fail("fitted twice"))
         a, b = (M.score(m, data, ["key"]).orderBy("key").collect() for m in (first, again))

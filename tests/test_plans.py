@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks import bindings as B
-from propensia.operators import ledger as L, models as M
+from propensia.operators import explain as X, features as R, ledger as L, models as M, sampling as V
 from propensia.plans import bank, modelling
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +55,20 @@ def test_top_lists_are_cut_before_their_shuffle(spark):
     assert plan(entry.queries()["g5_top_n_per_model"](spark, SF)).count("WindowGroupLimit") == 2
 
 
+def test_folds_and_scaling_move_no_rows(spark):
+    rows = B.vectors(spark, SF)
+    assert "Exchange" not in plan(V.stratified_folds(rows, "vec_id", "label", 5))
+    assert "Exchange" not in plan(V.stratified_holdout(rows, "vec_id", "label"))
+    assert "Exchange" not in plan(R.standard_scale(rows, B.FEATURES[:3]))
+
+
+def test_walks_are_scored_and_differenced_on_one_exchange(spark):
+    rows = B.vectors(spark, SF)
+    mean = lambda df: df.withColumn("p", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v))
+    text = plan(X.shap_values(mean, rows, X.background_sample(rows, "vec_id", 5), "vec_id", B.FEATURES[:4], 3))
+    assert text.split("Subquery")[0].count("Exchange hashpartitioning") <= 2  # the walks, and the sums per feature
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["account_id", "issued", "has_card"] and len(df.columns) == 3 + 65
