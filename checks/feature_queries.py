@@ -329,11 +329,11 @@ def _cv_sql(select):
 
 
 def _oof(spark, sf):
-    parts = [
-        V.stratified_folds(_scored(spark, sf).filter(F.col("model") == m), "doc_id", "label", 3, hash_value=_hash("doc_id"), modulus=MODULUS)
-        for m in B.MODELS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The fold depends on key and class alone, so it is assigned once for all models."""
+    base = B.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    docs = base.join(B.table(spark, sf, "documents").select("doc_id"), "doc_id")
+    folds = V.stratified_folds(docs, "doc_id", "label", 3, hash_value=_hash("doc_id"), modulus=MODULUS)
+    return _scored(spark, sf).join(folds.select("doc_id", "fold"), "doc_id")
 
 
 _MEAN_SQL = "model, " + ", ".join(s6(f"avg({_METRIC_SQL.get(m, m)})", m) for m in _ORDER)

@@ -76,7 +76,10 @@ def hash_cuts(
         F.col(group).alias("g"), F.col(key).alias("key"), hash_value.alias("h")
     ).filter(F.col("g").isNotNull()).withColumn("b", F.floor(F.col("h") * F.lit(buckets) / F.lit(modulus)).cast("int"))
     counts: dict[object, dict[int, int]] = {}
-    for r in rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # groups x buckets rows
+    sizes = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")).limit(buckets * 1000 + 1).collect()
+    if len(sizes) > buckets * 1000:
+        raise ValueError(f"{group} has too many values for a class column")
+    for r in sizes:
         counts.setdefault(r["g"], {})[r["b"]] = r["n"]
     wanted = []
     for g, sizes in counts.items():
@@ -108,33 +111,38 @@ def rank_section(group: str, hash_value: Column, key: str, cuts: dict[object, li
     return out
 
 
+BUCKET_ROWS = 100_000
+
+
 def prefix_sums(
     df: DataFrame,
     group: Sequence[str],
     order: str,
     values: Sequence[str],
     buckets: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<value>`` in ascending ``order`` inside each group.
 
-    ``df`` has one row per (group, order); it is written once, as three passes read it and all have
-    to see the same rows. Bucket borders are quantiles taken on the driver (groups x buckets
-    numbers); they only balance the work, the sums are exact for any borders.
+    ``df`` has one row per (group, order); it is written once (unless ``staged`` says it is), as all
+    passes have to see the same rows, and its measured size sets the number of buckets. Bucket borders
+    are quantiles taken on the driver (groups x buckets numbers); they only balance the work, the sums
+    are exact for any borders.
     """
     spark = df.sparkSession
-    buckets = buckets or parallel_buckets(spark, 256)
-    df, keys = _keyed(stage(df, "steps"), group)
-    if buckets > 1:
-        cuts = [i / buckets for i in range(1, buckets)]
-        borders = df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 8 * buckets).alias("_cuts"))
-        table = spark.createDataFrame(borders.collect(), borders.schema)
-        df = (
-            df.join(table, keys)
-            .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-            .drop("_cuts")
-        )
-    else:
-        df = df.withColumn("_b", F.lit(0))
+    df, keys = _keyed(df if staged else stage(df, "steps"), group)
+    buckets = buckets or max(1, min(1024, math.ceil(df.count() / BUCKET_ROWS)))
+    if buckets == 1:
+        inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values}).drop("_g")
+    cuts = [i / buckets for i in range(1, buckets)]
+    borders = df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 8 * buckets).alias("_cuts"))
+    table = spark.createDataFrame(borders.collect(), borders.schema)
+    df = (
+        df.join(table, keys)
+        .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
+        .drop("_cuts")
+    )
     totals = df.groupBy(*keys, "_b").agg(*[F.sum(v).alias(v) for v in values])
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return (
@@ -175,7 +183,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, accuracy
     ).agg(F.count(F.lit(1)).alias("n"))
     counted = stage(counted, "values")
     under = counted.filter(F.col("v").isNull()).select("column", F.col("n").alias("under"))
-    inside = prefix_sums(counted.filter(F.col("v").isNotNull()), ["column"], "v", ["n"])
+    inside = prefix_sums(counted.filter(F.col("v").isNotNull()), ["column"], "v", ["n"], staged=True)
     at = (F.col("total") - 1) * F.lit(q)
     upto = F.col("cum_n") + F.coalesce("under", F.lit(0))
     covers = lambda pos: (upto > pos) & (upto - F.col("n") <= pos)

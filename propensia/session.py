@@ -41,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "propensia", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below this application's part of the shared folder (which can be dropped as one)."""
+    return os.path.join(
+        shared_dir(spark), "propensia", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}"
+    )
 
 
 def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFrame:
