@@ -19,14 +19,13 @@ def scorer(model) -> Scorer:
 
     def add(df: DataFrame) -> DataFrame:
         scored = model.transform(df.withColumn("features", array_to_vector("vec")))
-        keep = [c for c in df.columns]
-        return scored.select(*keep, vector_to_array("probability")[1].alias("p"))
+        return scored.select(*df.columns, vector_to_array("probability")[1].alias("p"))
 
     return add
 
 
 def _row(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    return df.select(F.col(key).alias("key"), F.expr("array(" + ", ".join(f"cast(`{c}` as double)" for c in features) + ")").alias("x"))
 
 
 def background_sample(df: DataFrame, key: str, n: int = 100, seed: int = 42, order=None) -> DataFrame:

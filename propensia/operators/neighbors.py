@@ -26,7 +26,9 @@ GAP_CELL = -1
 
 
 def _pivot_distances(pivots: np.ndarray):
-    def distances(vec: pd.Series) -> np.ndarray:
+    """Distances of vectors to all pivots over their present elements, with the vectors as a matrix."""
+
+    def distances(vec: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         x = np.stack([np.asarray(v, dtype=float) for v in vec])
         return np.stack([np.sqrt(np.nansum((x - p) ** 2, axis=1)) for p in pivots], axis=1), x
 
@@ -111,6 +113,28 @@ def _block_top_k(k: int, exclude_self: bool, targeted: bool, chunk: int = 256):
     return top_k
 
 
+def _route(queries: DataFrame, donors: DataFrame, need: int, n_pivots: int, block_rows: int):
+    """Donors with their cell, queries with the cells they must visit, and donor blocks per cell."""
+    complete = donors.filter(~F.exists("vec", lambda v: v.isNull() | F.isnan(v)))
+    picked = complete.orderBy(key_hash("id", seed=7), "id").limit(n_pivots).collect()
+    if not picked:  # every donor has gaps: one cell for all of them
+        picked = [{"vec": [0.0] * donors.select(F.size("vec").alias("n")).first()["n"]}]
+    points = np.array([r["vec"] for r in picked], dtype=float)
+    donors = stage(
+        donors.withColumn("_a", _assign_cell(points)("vec")).select("id", "vec", "payload", "_a.cell", "_a.dist"),
+        "donors",
+    )
+    stats = donors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
+    count, radius = np.zeros(len(points)), np.zeros(len(points))
+    blocks = {}
+    for row in stats:
+        blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
+        if row["cell"] != GAP_CELL:
+            count[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
+    cells = _candidate_cells(points, count, radius, need, GAP_CELL in blocks)("vec").alias("cells")
+    return donors, stage(queries.select("id", "vec", "target", cells), "queries"), blocks
+
+
 def knn_join(
     queries: DataFrame,
     donors: DataFrame,
@@ -131,40 +155,17 @@ def knn_join(
         queries = queries.withColumn("target", F.lit(0))
     if "payload" not in donors.columns:
         donors = donors.withColumn("payload", F.lit(None).cast("double"))
+    queries = queries.select("id", "vec", F.col("target").cast("int").alias("target"))
     donors = stage(donors.select("id", "vec", "payload"), "donors")
-    n_pivots = max(1, min(pivots, math.ceil(donors.count() / block_rows)))
-    complete = donors.filter(~F.exists("vec", lambda v: v.isNull() | F.isnan(v)))
-    picked = complete.orderBy(key_hash("id", seed=7), "id").limit(n_pivots).collect()
-    if not picked:  # every donor has gaps: one cell for all of them
-        first = donors.select(F.size("vec").alias("n")).first()
-        picked = [{"vec": [0.0] * (first["n"] if first else 1)}]
-    points = np.array([r["vec"] for r in picked], dtype=float)
-
-    donors = stage(
-        donors.withColumn("_a", _assign_cell(points)("vec")).select("id", "vec", "payload", "_a.cell", "_a.dist"),
-        "donors",
-    )
-    stats = donors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
-    count, radius = np.zeros(len(points)), np.zeros(len(points))
-    donor_blocks = {}
-    for row in stats:
-        donor_blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
-        if row["cell"] != GAP_CELL:
-            count[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    routed = stage(
-        queries.select(
-            "id", "vec", F.col("target").cast("int").alias("target"),
-            _candidate_cells(points, count, radius, k + int(exclude_self), GAP_CELL in donor_blocks)("vec").alias("cells"),
-        ),
-        "queries",
-    )
+    n_donors = donors.count()
+    if n_donors <= block_rows:  # one block holds them all: nothing to prune
+        donors, routed = donors.withColumn("cell", F.lit(0)), stage(queries, "queries").withColumn("cells", F.array(F.lit(0)))
+        donor_blocks = {0: 1}
+    else:
+        n_pivots = min(pivots, math.ceil(n_donors / block_rows))
+        donors, routed, donor_blocks = _route(queries, donors, k + int(exclude_self), n_pivots, block_rows)
     visits = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    query_blocks = {row["cell"]: math.ceil(row["n"] / block_rows) for row in visits}
-    if not query_blocks or not donor_blocks:
-        return donors.limit(0).select(
-            "id", F.lit(0).alias("target"), F.lit(0).alias("rank"), F.col("id").alias("neighbor_id"),
-            F.lit(0.0).alias("distance"), F.lit(0.0).alias("value"),
-        )
+    query_blocks = {row["cell"]: math.ceil(row["n"] / block_rows) for row in visits} or {0: 1}
 
     def blocks(of: dict[int, int]) -> Column:
         return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("cell")), F.lit(1))
@@ -218,7 +219,7 @@ def vote_share(weights: str) -> Column:
 
 
 def _vectors(df: DataFrame, key: str, features: Sequence[str], label: str | None = None) -> DataFrame:
-    vec = F.array(*[F.col(c).cast("double") for c in features]).alias("vec")
+    vec = F.expr("array(" + ", ".join(f"cast(`{c}` as double)" for c in features) + ")").alias("vec")
     extra = [F.col(label).cast("double").alias("payload")] if label else []
     return df.select(F.col(key).alias("id"), vec, *extra)
 
