@@ -204,3 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     found = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays, with all columns of ``docs``; see ``near_duplicates``.
+
+    Rows without an id stay.
+    """
+    gone = stage(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    return docs.join(gone, id_col, "left_anti")

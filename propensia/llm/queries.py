@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash
+from propensia.llm import minhash, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 MINHASH_SQL = r"""
-with w as materialized (
+with recursive w as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
   from documents
 ), s as materialized (
@@ -40,7 +40,7 @@ e as materialized (
 reach as (
   select distinct a as root, a as node from arcs
   union
-  select r.root, arcs.b from (select root, node from reach) r join arcs on arcs.a = r.node
+  select r.root, arcs.b from reach r join arcs on arcs.a = r.node
 ), comp as (select root, min(node) as component from reach group by 1)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(component, w.doc_id) as component_id,
   coalesce(component, w.doc_id) = w.doc_id as kept
@@ -51,3 +51,30 @@ from w left join n using (doc_id) left join comp on root = w.doc_id
 @query("op10_minhash_near_dedup", MINHASH_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+WINNOW_SQL = r"""
+with d as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as materialized (
+  select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), bw as materialized (
+  select distinct item_id, least(len(ws), 13) as k, unnest(list_transform(range(1, len(ws) - least(len(ws), 13) + 2), lambda i: ws[i:i + least(len(ws), 13) - 1])) as win
+  from b where len(ws) > 0
+), dw as materialized (
+  select r, k, unnest(range(1, len(ws) - k + 2)) as i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) as win
+  from d, (select distinct k from bw) where len(ws) >= k
+), m as materialized (select distinct dw.r, dw.i, dw.k, bw.item_id from dw join bw on dw.win = bw.win),
+h as (select r, count(distinct i + o.o) as n_hit from m, range(0, 13) o(o) where o.o < m.k group by 1),
+t as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from m) group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join h using (r) left join t using (r)
+"""
+
+
+@query("op8_winnowing_decontamination", WINNOW_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
