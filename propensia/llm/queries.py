@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash, winnowing
+from propensia.llm import minhash, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,8 @@ from d left join h using (r) left join t using (r)
 @query("op8_winnowing_decontamination", WINNOW_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@query("op7_weak_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.assess(table(spark, sf_dir, "documents")).drop("votes", "p_good")
