@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash, weak_rules, winnowing
+from propensia.llm import minhash, packing, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +84,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_weak_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.assess(table(spark, sf_dir, "documents")).drop("votes", "p_good")
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
