@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash, packing, weak_rules, winnowing
+from propensia.llm import minhash, packing, surrogates, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,12 @@ VOCABULARY = "word_bpe_49k.json"
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+#: a deployment passes its own secret; the queries' surrogates must only be repeatable
+DEMO_KEY = b"surrogates of the registered query"
+
+
+@query("op9_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents"), DEMO_KEY)
