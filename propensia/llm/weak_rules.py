@@ -86,10 +86,12 @@ def _measured(rows: DataFrame) -> DataFrame:
         "again", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"],
     )
-    return rows.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    counts = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines", "n_capitals", "n_odd", "n_unusual",
     )
+    # a filter on the verdict is not pushed below this, where it would take all counts anew
+    return rows.select("row", F.inline(F.array(counts)))
 
 
 def _vote(rule: str) -> Column:
