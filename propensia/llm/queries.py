@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash, packing, surrogates, weak_rules, winnowing
+from propensia.llm import minhash, packing, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,18 @@ DEMO_KEY = b"surrogates of the registered query"
 @query("op9_surrogates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p group by 1)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+  case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to
+from p join f using (d)
+"""
+
+
+@query("op1_warc_round_trip", WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "path")
