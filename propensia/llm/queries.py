@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
+from propensia.llm import interpolation, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op2_deleted_interpolation")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
