@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import interpolation, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
+from propensia.llm import interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_deleted_interpolation")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
