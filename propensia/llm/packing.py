@@ -6,11 +6,11 @@ size, largest first:
 1. Every range is swept from large to small; a piece takes the smallest gap seen that still fits (a stack, since gaps
    arrive in falling order), and what is left of a gap is offered again further down in the same range.
 2. Pieces a range could not place and gaps it did not use are ranked; a prefix scan over the ranges' two counts gives
-   each unused gap one piece of a later (smaller) range, so two pieces never claim one gap.
+   each unused gap pieces of a later (smaller) range, as many as surely fit, so no two gaps claim a piece.
 3. Gaps are updated and the next round begins. If a round places next to nothing, the largest pieces left
    open as many sequences as all of them need at least.
 
-The driver sees two counts per range and one per length, never rows. The state of each round is a written table.
+The driver sees a few numbers per range and one per length, never rows. The state of each round is a written table.
 """
 
 from __future__ import annotations
@@ -18,37 +18,43 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from propensia.llm.tokenizing import piece_ids
+from propensia.llm.tokenizing import word_ids
+from propensia.llm.tokens import blocks
 from propensia.session import stage
 
 CAPACITY, END = 4096, 1
 RANGE_ROWS = 50_000
-LEVELS, LITTLE = 5, 0.01
+LEVELS = (2, 4, 16)  # shares of a sequence at which a level begins
+LITTLE = 0.05
 GAP, PIECE, PLACED, FALLEN = 0, 1, 2, 3
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, key = piece_ids(path), TaskContext.get().partitionId() << 33
+        vocabulary, key = word_ids(path), TaskContext.get().partitionId() << 33
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            texts = batch.column("text").cast(pa.large_binary())
-            for doc, text in zip(batch.column("id").to_pylist(), texts):
-                tokens = (ids.text(text.as_py()) if text.is_valid else b"") + end
-                for i, at in enumerate(range(0, len(tokens), capacity * 4)):
-                    part = tokens[at : at + capacity * 4]
-                    rows.append((key, doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
-                    key += 1
-            columns = list(zip(*rows)) if rows else [()] * 6
-            types = [pa.int64(), batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "id", "piece", "start", "length", "ids_crc32"])
+            for block in blocks(batch.column("text")):
+                ids, bounds = vocabulary.block(block)
+                raw, rows = ids.tobytes(), []
+                for row, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    n = hi - lo + 1
+                    for i, at in enumerate(range(0, n, capacity)):
+                        size = min(capacity, n - at)
+                        crc = zlib.crc32(raw[(lo + at) * 4 : min(lo + at + size, hi) * 4])
+                        rows.append((key, row, i, at, size, zlib.crc32(end, crc) if at + size == n else crc))
+                        key += 1
+                columns = [np.array(c, np.int64) for c in zip(*rows)]
+                doc = batch.column("id").slice(block.first, block.rows).take(pa.array(columns[1]))
+                rest = [pa.array(columns[0]), doc, pa.array(columns[2], pa.int32()), *[pa.array(c) for c in columns[3:]]]
+                yield pa.RecordBatch.from_arrays(rest, ["key", "id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -99,25 +105,35 @@ def _swept(capacity: int):
     return run
 
 
-def routes(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+class Rest(NamedTuple):
+    """What a range left over: numbers of gaps and pieces, its smallest such gap and largest such piece."""
+
+    gaps: int = 0
+    pieces: int = 0
+    least_gap: int = 0
+    most_piece: int = 1
+
+
+def routes(rest: dict[int, Rest]) -> list[tuple[int, int, int, int, int, int]]:
     """Unused gaps of a range to unplaced pieces of later ones, nearest first.
 
-    ``counts`` has (gaps, pieces) per range. Returns (range of the gap, first rank, rank after the last, range of the
-    piece, what to add to a gap's rank for the piece's rank).
+    Returns (range of the gaps, rank of the first gap, range of the pieces, rank of the first piece, rank after the last
+    piece, pieces per gap). As many pieces share a gap as fit into the smallest of them at the size of the largest.
     """
-    stack, out = [], []
-    for part in sorted(counts):
-        gaps, pieces = counts[part]
-        done = 0
-        while done < pieces and stack:
+    stack: list[tuple[int, int, int]] = []
+    out = []
+    for part in sorted(rest):
+        r, done = rest[part], 0
+        while done < r.pieces and stack:
             source, first, last = stack.pop()
-            n = min(pieces - done, last - first)
-            out.append((source, first, first + n, part, done - first))
+            share = max(1, rest[source].least_gap // r.most_piece)
+            n = min(r.pieces - done, (last - first) * share)
+            out.append((source, first, part, done, done + n, share))
             done += n
-            if first + n < last:
-                stack.append((source, first + n, last))
-        if gaps:
-            stack.append((part, 0, gaps))
+            if first - (-n // share) < last:
+                stack.append((source, first - (-n // share), last))
+        if r.gaps:
+            stack.append((part, 0, r.gaps))
     return out
 
 
@@ -129,72 +145,95 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     size of its level's unplaced pieces and of the open gaps.
     """
     everything = pieces.select(F.col("length").cast("long").alias("size"), F.lit(PIECE).alias("kind"), "key")
+    lengths = {r["size"]: r["count"] for r in everything.groupBy("size").count().collect()}  # at most one row a length
     opened = everything.where(F.col("size") * 2 > capacity)
     done = [opened.select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    gaps = stage(opened.where(F.col("size") < capacity).select((capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), "key"), "gaps")
-    for level in range(1, LEVELS + 1):
-        floor = capacity >> (level + 1) if level < LEVELS else 0
-        state = stage(gaps.union(everything.where((F.col("size") > floor) & (F.col("size") <= capacity >> level))), "state")
-        while True:
-            n_gaps, n = state.agg(F.count_if(F.col("kind") == GAP), F.count_if(F.col("kind") == PIECE)).first()
-            if not n:
-                break
-            state = _round(state, n_gaps, n, capacity, done)
-        gaps = state
+    state = opened.where(F.col("size") < capacity).select((capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), "key")
+    gaps = sum(n for size, n in lengths.items() if capacity < size * 2 < 2 * capacity)
+    for top, floor in zip(LEVELS, [*LEVELS[1:], capacity]):
+        mine = (F.col("size") > capacity // floor if floor < capacity else F.col("size") > 0) & (F.col("size") <= capacity // top)
+        left = sum(n for size, n in lengths.items() if (size > capacity // floor or floor == capacity) and size <= capacity // top)
+        state = state.union(everything.where(mine))
+        few = int(left * LITTLE) if floor < capacity else 0
+        while left:
+            state, gaps, left = _round(state, gaps, left, capacity, done, few)
     result = done[0]
     for part in done[1:]:
         result = result.union(part)
     return result.select("key", F.col("bin").alias("sequence_id"), "offset")
 
 
-def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[DataFrame]) -> DataFrame:
-    """One sweep over all ranges, the routing of what ranges left over, and new sequences if little was placed."""
-    piece, order = F.col("kind") == PIECE, [F.col("size").desc(), F.col("kind"), F.col("key")]
+def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[DataFrame], few: int) -> tuple[DataFrame, int, int]:
+    """One sweep over all ranges, the routing of what ranges left over, and new sequences if little was placed.
+
+    The last ``few`` pieces of a level open one each: later levels fill these. Returns the new state with its numbers of gaps and of unplaced pieces.
+    """
+    spark = state.sparkSession
+    order = [F.col("size").desc(), F.col("kind"), F.col("key")]
     swept = state.repartitionByRange(-(-(n + n_gaps) // RANGE_ROWS), *order).sortWithinPartitions(*order)
     swept = stage(swept.mapInArrow(_swept(capacity), "part int, rank long, kind int, size long, key long, bin long, offset long"), "swept")
-    rest = swept.where(F.col("kind").isin(GAP, PIECE))
-    counts: dict[int, tuple[int, int]] = {}
-    for part, kind, m in rest.groupBy("part", "kind").count().collect():
-        was = counts.get(part, (0, 0))
-        counts[part] = (m, was[1]) if kind == GAP else (was[0], m)
-    done.append(swept.where(F.col("kind") == PLACED).select("key", "bin", "offset"))
-    state = swept.where(F.col("kind") == FALLEN).select("size", F.lit(GAP).alias("kind"), "key")
-    after = sum(m for _, m in counts.values())
-    if ways := routes(counts):
-        way = state.sparkSession.createDataFrame(ways, "part int, first long, last long, target int, shift long")
-        free = rest.where(F.col("kind") == GAP).join(F.broadcast(way), "part")  # at most two rows a range
-        free = free.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
-        free = free.select(F.col("target").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"), F.col("size").alias("gap"), F.col("bin").alias("into"))
-        met = rest.where(piece).drop("bin", "offset").join(free, ["part", "rank"])
-        met = stage(met.select("key", F.col("into").alias("bin"), (capacity - F.col("gap")).alias("offset"), "size", "gap"), "routed")
+    rest: dict[int, Rest] = {}
+    fallen = 0
+    totals = swept.where(F.col("kind") != PLACED).groupBy("part", "kind").agg(F.count("*"), F.min("size"), F.max("size"))
+    for part, kind, m, least, most in totals.collect():
+        was = rest.get(part, Rest())
+        if kind == FALLEN:
+            fallen += m
+        else:
+            rest[part] = was._replace(gaps=m, least_gap=least) if kind == GAP else was._replace(pieces=m, most_piece=most)
+    placed = swept.where(F.col("kind") == PLACED).select("key", "bin", "offset")
+    ways = routes(rest)
+    left = sum(r.pieces for r in rest.values()) - sum(last - first for _, _, _, first, last, _ in ways)
+    free, wanting = swept.where(F.col("kind") == GAP), swept.where(F.col("kind") == PIECE)
+    columns = [F.col("size"), F.col("kind"), F.col("key")]
+    after = swept.where(F.col("kind") == FALLEN).select("size", F.lit(GAP).alias("kind"), "key")
+    if ways:  # about two rows a range
+        way = F.broadcast(spark.createDataFrame(ways, "source int, gap_first long, part int, first long, last long, share long"))
+        used = [(source, gap, gap - (-(last - first) // share)) for source, gap, _, first, last, share in ways]
+        used = F.broadcast(spark.createDataFrame(used, "part int, first long, last long"))
+        within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+        sent = wanting.drop("bin", "offset").join(way, "part").where(within)
+        sent = sent.withColumn("gap_rank", F.col("gap_first") + F.floor((F.col("rank") - F.col("first")) / F.col("share")))
+        holes = free.select(F.col("part").alias("source"), F.col("rank").alias("gap_rank"), F.col("size").alias("gap"), F.col("bin").alias("into"))
+        met = sent.join(holes, ["source", "gap_rank"])
+        before = F.sum("size").over(Window.partitionBy("source", "gap_rank").orderBy("rank")) - F.col("size")
+        met = stage(met.select("key", F.col("into").alias("bin"), (capacity - F.col("gap") + before).alias("offset"), "size", "gap"), "routed")
         done.append(met.select("key", "bin", "offset"))
-        taken = met.select("key", F.lit(PIECE).alias("kind")).union(met.select(F.col("bin").alias("key"), F.lit(GAP).alias("kind")))
-        rest = rest.join(taken, ["key", "kind"], "left_anti")
-        state = state.union(met.where("gap > size").select((F.col("gap") - F.col("size")).alias("size"), F.lit(GAP), F.col("bin")))
-        after -= sum(last - first for _, first, last, _, _ in ways)
-    state = stage(state.union(rest.select("size", "kind", "key")), "state")
-    return _open(state, capacity, done) if after and n - after <= LITTLE * n else state
-
-
-def _open(state: DataFrame, capacity: int, done: list[DataFrame]) -> DataFrame:
-    """The largest pieces open as many sequences as the pieces left need at least; of one length a share by key."""
+        kept = free.join(used, (free["part"] == used["part"]) & within, "left_anti").select(*columns)
+        unserved = wanting.join(way, (wanting["part"] == way["part"]) & within, "left_anti").select(*columns)
+        reduced = met.groupBy("bin").agg((F.first("gap") - F.sum("size")).alias("size")).where("size > 0")
+        after = after.union(kept).union(unserved).union(reduced.select("size", F.lit(GAP), "bin"))
+    else:
+        after = after.union(free.select(*columns)).union(wanting.select(*columns))
+    done.append(placed)
+    gaps = fallen + sum(r.gaps for r in rest.values())
+    if left and (left <= few or n - left <= LITTLE * n):
+        after, opened = _open(stage(after, "state"), capacity, done, left if left <= few else 0)
+        return after, gaps + opened, left - opened
+    return after, gaps, left
+
+
+def _open(state: DataFrame, capacity: int, done: list[DataFrame], want: int = 0) -> tuple[DataFrame, int]:
+    """The largest pieces open as many sequences as the pieces left need at least (or ``want``); of one length a share by key.
+
+    Returns the new state and how many were opened.
+    """
     lengths = {r["size"]: r["count"] for r in state.where(F.col("kind") == PIECE).groupBy("size").count().collect()}
-    want = -(-sum(s * n for s, n in lengths.items()) // capacity)
+    want = want or -(-sum(s * n for s, n in lengths.items()) // capacity)
     share, edge = 1.0, min(lengths)
     for size in sorted(lengths, reverse=True):
         if want <= lengths[size]:
             share, edge = want / lengths[size], size
             break
         want -= lengths[size]
-    few = lengths[edge] * share < 50
     steps = 1 << 20
+    few = lengths[edge] * share < 50
     drawn = F.lit(True) if few or share >= 1 else F.pmod(F.xxhash64("key"), F.lit(steps)) < max(1, round(share * steps))
     opens = (F.col("kind") == PIECE) & ((F.col("size") > edge) | ((F.col("size") == edge) & drawn))
-    marked = stage(state.withColumn("opens", opens), "opens")
-    new = marked.where("opens")
+    new = state.where(opens)
     done.append(new.select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset")))
-    new = new.where(F.col("size") < capacity).select((capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), "key")
-    return stage(marked.where("not opens").select("size", "kind", "key").union(new), "state")
+    new = new.select((capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), "key")
+    return state.where(~opens).union(new), state.where(opens).count()
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

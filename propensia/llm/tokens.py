@@ -100,8 +100,8 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
-def words(block: Block, separators: str = "space", lower: bool = True) -> Words:
-    """All words of a block; a word never spans two rows."""
+def spans(block: Block, separators: str = "space", lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's bytes (A-Z lower-cased if asked for), and each word's first byte and the byte after it."""
     data = LOWER[block.data] if lower else block.data
     inside = np.zeros(len(data) + 1, bool)
     np.logical_not(SEPARATORS[separators][data], out=inside[:-1])
@@ -114,11 +114,19 @@ def words(block: Block, separators: str = "space", lower: bool = True) -> Words:
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     joined = cuts[inside[cuts] & inside[cuts - 1]]
     starts[joined] = ends[joined] = True
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+    return data, np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = prefix_hashes(data)
-    hashes = mix((sums[ends] - sums[starts]) * powers(len(data))[1][starts])
+    return mix((sums[ends] - sums[starts]) * powers(len(data))[1][starts])
+
+
+def words(block: Block, separators: str = "space", lower: bool = True) -> Words:
+    """All words of a block; a word never spans two rows."""
+    data, starts, ends = spans(block, separators, lower)
     bounds = np.searchsorted(starts, block.bounds)
-    return Words(hashes, starts, ends, np.repeat(np.arange(block.rows), np.diff(bounds)), bounds)
+    return Words(span_hashes(data, starts, ends), starts, ends, np.repeat(np.arange(block.rows), np.diff(bounds)), bounds)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
