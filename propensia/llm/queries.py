@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from propensia.llm import interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
+from propensia.llm import compact_windows, interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scans")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_compact_window_passages")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
