@@ -94,14 +94,20 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.inline(F.array(counts)))
 
 
+def _share(measure: str) -> Column:
+    """Null where what is divided by is zero."""
+    over, _, under = measure.partition(" / ")
+    return F.try_divide(F.expr(over), F.expr(under or "1.0"))
+
+
 def _vote(rule: str) -> Column:
     some = F.col("n_words") > 0
     if rule in SHARES:
         measure, bad, good = SHARES[rule]
-        x = F.expr(measure)
+        x = _share(measure)
         return F.when(some & (x > bad), 0).when(some & (x <= good), 1)
     measure, low, start, end, high = RANGES[rule]
-    x = F.expr(measure)
+    x = _share(measure)
     return F.when((x < low) | (x > high), 0).when((x >= start) & (x <= end), 1)
 
 
