@@ -140,7 +140,7 @@ def knn_join(
     donors: DataFrame,
     k: int,
     exclude_self: bool = False,
-    pivots: int = 512,
+    pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """(id, target, rank, neighbor_id, distance, value): the k nearest donors of every query.
@@ -148,7 +148,8 @@ def knn_join(
     ``queries``: id long, vec array<double>, optional target int (an element the donor must have).
     ``donors``: id long, vec array<double>, optional payload double.
     ``value`` is the donor's payload, or its target element when queries have a target.
-    Driver-held state is the pivot vectors and one (count, radius) pair per cell.
+    Driver-held state is the pivot vectors (as many as the root of the number of donors) and one (count, radius) pair per
+    cell.
     """
     targeted = "target" in queries.columns
     if not targeted:
@@ -162,7 +163,7 @@ def knn_join(
         donors, routed = donors.withColumn("cell", F.lit(0)), stage(queries, "queries").withColumn("cells", F.array(F.lit(0)))
         donor_blocks = {0: 1}
     else:
-        n_pivots = min(pivots, math.ceil(n_donors / block_rows))
+        n_pivots = pivots or math.ceil(math.sqrt(n_donors))
         donors, routed, donor_blocks = _route(queries, donors, k + int(exclude_self), n_pivots, block_rows)
     visits = routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
     query_blocks = {row["cell"]: math.ceil(row["n"] / block_rows) for row in visits} or {0: 1}

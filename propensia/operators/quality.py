@@ -119,16 +119,14 @@ def opening_entries(ledger: DataFrame, key: str, order: Sequence[str], amount: s
 
 def opening_entry_check(ledger: DataFrame, key: str, order: Sequence[str], amount: str = "amount", balance: str = "balance") -> DataFrame:
     """One row: accounts, accounts with an opening entry, accounts lacking one, entries off balance."""
-    entries = opening_entries(ledger, key, order, amount, balance)
-    accounts = ledger.select(key).distinct()
-    matched = accounts.join(
-        entries.select(key, (F.col(amount) != F.col(balance)).alias("_off"), F.lit(True).alias("_has")), key, "left"
-    )
-    return matched.agg(
+    opening = F.col(amount) == F.col(balance)
+    first = F.min_by(F.struct(F.col(amount).alias("a"), F.col(balance).alias("b")), F.when(opening, F.struct(*order)))
+    accounts = ledger.groupBy(key).agg(first.alias("_first"), (F.coalesce(F.bool_or(opening), F.lit(False)) & F.col(key).isNotNull()).alias("_has"))
+    return accounts.agg(
         F.count(F.lit(1)).alias("accounts"),
-        F.count_if(F.col("_has")).alias("with_opening"),
-        F.count_if(F.col("_has").isNull()).alias("without_opening"),
-        F.count_if(F.col("_off")).alias("off_balance"),
+        F.count_if("_has").alias("with_opening"),
+        F.count_if(~F.col("_has")).alias("without_opening"),
+        F.count_if(F.col("_has") & (F.col("_first.a") != F.col("_first.b"))).alias("off_balance"),
     )
 
 

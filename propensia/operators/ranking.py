@@ -131,7 +131,7 @@ def prefix_sums(
     """
     spark = df.sparkSession
     df, keys = _keyed(df if staged else stage(df, "steps"), group)
-    buckets = buckets or max(1, min(1024, math.ceil(df.count() / BUCKET_ROWS)))
+    buckets = buckets or max(1, math.ceil(df.count() / BUCKET_ROWS))
     if buckets == 1:
         inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values}).drop("_g")

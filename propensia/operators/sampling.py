@@ -65,8 +65,10 @@ def smote(
         raise ValueError("balancing needs exactly two classes")
     minority, n_min = min(sizes.items(), key=lambda kv: kv[1])
     missing, k = max(sizes.values()) - n_min, min(k, n_min - 1)
-    if missing == 0 or k < 1:
+    if missing == 0:
         return marked
+    if k < 1:
+        raise ValueError("a class of one row has no neighbours to balance it with")
     rows = _vectors(df.filter(F.col(label) == F.lit(minority)), key, features)
     ranked = hash_rank(rows, [], key_hash("id", seed=seed) if rank_hash is None else rank_hash, "id", "base", modulus)
     near = knn_join(rows, rows, k, exclude_self=True).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +29,8 @@ class TrainTest:
 
 
 def feature_rows(modelling: DataFrame, domains: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
-    """Modelling set with indicators and window statistics, and the names of its features."""
-    rows = R.window_features(bank.encode(modelling, domains))
+    """Modelling set with indicators, and the names of its base features (window statistics come after balancing)."""
+    rows = bank.encode(modelling, domains)
     numeric = [c for c in columns_by_type(rows)[0] if c not in NOT_FEATURES]
     rows = drop_columns(rows, ["district_id_client"])
     return rows.withColumns({c: F.col(c).cast("double") for c in numeric}), numeric
@@ -44,27 +44,30 @@ def baseline_features(rows: DataFrame, horizon: int = codes.HORIZON) -> list[str
 def prepare_train_test(
     rows: DataFrame, features: Sequence[str], key: str = "account_id", label: str = "label",
     test_share: float = 0.1, folds: int = 10, neighbours: int = 5, reference_order: bool = False,
+    derive: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> TrainTest:
-    """Split, impute, scale and balance.
+    """Split, impute, balance on the base features, derive features of all rows, scale.
 
-    By default everything is fitted on training rows only and applied to the hold-out rows.
-    ``reference_order`` balances, imputes and scales all rows before the split, which lets hold-out
+    ``derive`` adds columns computed from a row's own base features, so synthetic rows get theirs from their own
+    values. By default everything is fitted on training rows only and applied to the hold-out rows.
+    ``reference_order`` balances, derives, imputes and scales all rows before the split, which lets hold-out
     rows influence the fit.
     """
-    rows = stage(rows.select(key, label, *features), "rows")
+    rows, base = stage(rows.select(key, label, *features), "rows"), list(features)
+    features = [c for c in derive(rows).columns if c not in (key, label)]
     if reference_order:
-        balanced = stage(V.smote(rows, key, label, features, neighbours), "rows")
+        balanced = stage(derive(V.smote(rows, key, label, base, neighbours)), "rows")
         scaled = R.standard_scale(stage(_impute(balanced, key, features, neighbours, balanced), "rows"), features)
         split = stage(V.stratified_holdout(scaled, key, label, test_share), "rows")
         train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     else:
         split = stage(V.stratified_holdout(rows, key, label, test_share), "rows")
         train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-        filled = stage(_impute(train, key, features, neighbours, train), "rows")
-        test = _impute(test, key, features, neighbours, train)
-        scale = R.fit_standard_scale(filled, features)
-        train = V.smote(R.apply_standard_scale(filled, scale), key, label, features, neighbours)
-        test = R.apply_standard_scale(test, scale)
+        filled = stage(_impute(train, key, base, neighbours, train), "rows")
+        test = derive(_impute(test, key, base, neighbours, train))
+        train = stage(derive(V.smote(filled, key, label, base, neighbours)), "rows")
+        scale = R.fit_standard_scale(train, features)
+        train, test = R.apply_standard_scale(train, scale), R.apply_standard_scale(test, scale)
     train = V.stratified_folds(stage(train, "train"), key, label, folds)
     return TrainTest(stage(train, "train"), stage(test, "test"), list(features), key, label)
 
@@ -106,11 +109,12 @@ def assess(scored: DataFrame, model: str, label: str = "label") -> dict[str, Dat
 def affinity_run(
     raw: Mapping[str, DataFrame], domains: Mapping[str, Sequence[str]], unit: str = "month",
     horizon: int = codes.HORIZON, folds: int = 10, specs=None, list_sizes: Sequence[int] = (10, 20),
-    min_age_days: int = codes.MIN_AGE_DAYS, draw=None,
+    min_age_days: int = codes.MIN_AGE_DAYS, draw=None, reference_order: bool = False,
 ) -> dict[str, object]:
     """Raw tables to leads: every report of the analysis as a DataFrame.
 
-    ``specs(n, key, baseline)`` lists the models (default: all of them with full grids).
+    ``specs(n, key, baseline)`` lists the models (default: all of them with full grids). ``reference_order`` is passed
+    to ``prepare_train_test``.
     """
     t = bank.prepare(raw, unit)
     holders = bank.without_junior(bank.card_status(t))
@@ -118,7 +122,7 @@ def affinity_run(
     windows = stage(bank.affinity_windows(bank.monthly_ledger(t["trans"], unit), dates, unit, horizon), "windows")
     master = stage(bank.master_record(t), "master")
     rows, features = feature_rows(bank.modelling_set(bank.without_junior(master), windows, min_age_days), domains)
-    data = prepare_train_test(rows, features, folds=folds)
+    data = prepare_train_test(rows, features, folds=folds, reference_order=reference_order, derive=R.window_features)
     models = (specs or M.model_list)(data.train.count(), data.key, baseline_features(data.train, horizon))
     results = compare_models(data, models, folds)
     scored = stage(leads(data, models, results), "leads")

@@ -62,6 +62,6 @@ def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallel_buckets(spark: SparkSession, most: int = 1024) -> int:
-    """How many hash or quantile buckets a global ordering is split into."""
-    return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def parallel_buckets(spark: SparkSession) -> int:
+    """How many hash or quantile buckets a global ordering is split into: as many as a shuffle has partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

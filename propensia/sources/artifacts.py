@@ -8,10 +8,20 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def _marker(spark: SparkSession, path: str):
+    """A file's place and its file system, whichever Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    """True when a finished write (its success marker) is at ``path``, on any file system Spark reads."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    place, files = _marker(spark, path)
+    return files.exists(place)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    place, files = _marker(spark, path)
+    files.create(place, True).close()
 
 
 class ArtifactStore:
@@ -27,18 +37,22 @@ class ArtifactStore:
         return f"{self._root}/oof/model={name}"
 
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
-        """The stored model, or the fitted one after storing it."""
+        """The stored model, or the fitted one after storing it.
+
+        A pipeline is written stage by stage, so only a marker written after all of them makes it a stored one.
+        """
         path = self.model_path(name)
-        if _exists(self._spark, f"{path}/metadata"):
+        if _exists(self._spark, f"{path}/_COMPLETE"):
             return PipelineModel.load(path)
         fitted = fit()
         fitted.write().overwrite().save(path)
+        _finish(self._spark, f"{path}/_COMPLETE")
         return fitted
 
     def predictions(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The stored out-of-fold predictions of a model, made first when missing."""
         path = self.oof_path(name)
-        if not _exists(self._spark, path):
+        if not _exists(self._spark, f"{path}/_SUCCESS"):
             make().drop("model").write.mode("overwrite").parquet(path)
         return self._spark.read.parquet(path).withColumn("model", F.lit(name))
 

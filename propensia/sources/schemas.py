@@ -1,8 +1,7 @@
 """Declared schemas of the eight input tables. Compact dates and bank codes stay text on read.
 
-Money to be summed is DECIMAL(8,2): Spark sums decimals of at most eight digits as machine integers
-(twice as fast as wider ones) into DECIMAL(18,2), exactly and in any order. A larger single amount
-fails the read; pass a wider schema then.
+Money is DECIMAL(18,2). Where all amounts are known to have at most eight digits, schemas with ``narrow_money`` let Spark
+sum them as machine integers (twice as fast); a larger amount then fails the read.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
-_MONEY, _BALANCE = T.DecimalType(8, 2), T.DecimalType(18, 2)
+_MONEY = _BALANCE = T.DecimalType(18, 2)
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -42,3 +41,8 @@ TABLES = {
     "account": ACCOUNT, "card": CARD, "client": CLIENT, "disp": DISP,
     "district": DISTRICT, "loan": LOAN, "order": ORDER, "trans": TRANS,
 }
+
+
+def narrow_money(schema: T.StructType, columns: tuple[str, ...] = ("amount", "payments")) -> T.StructType:
+    """The schema with single amounts of at most eight digits; balances stay wide."""
+    return T.StructType([T.StructField(f.name, T.DecimalType(8, 2) if f.name in columns and isinstance(f.dataType, T.DecimalType) else f.dataType) for f in schema])

@@ -22,9 +22,9 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";
     )
 
 
-def read_bank(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The eight raw tables of a folder, by name."""
-    return {name: csv_scan(spark, f"{folder}/{name}.csv", schema) for name, schema in TABLES.items()}
+def read_bank(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """The eight raw tables of a folder, by name; ``schemas`` replaces the declared ones of some tables."""
+    return {name: csv_scan(spark, f"{folder}/{name}.csv", schema) for name, schema in (TABLES | dict(schemas or {})).items()}
 
 
 class Catalog:

@@ -109,3 +109,43 @@ def test_run_from_raw_tables_to_leads(spark):
         data.train.select("account_id", "label", *data.features[:5]), data.features[:5], folds=2, reference_order=True
     )
     assert before_split.train.filter("fold is null").isEmpty()
+
+
+def test_balancing_sees_base_features_only_and_synthetic_rows_get_their_own_statistics(spark):
+    cells = [f"{m}_{k}" for m in R.FEATURE_MEASURES for k in range(1, 14)]
+    rows = spark.range(80).select(
+        F.col("id").alias("account_id"), F.when(F.col("id") < 20, 1).otherwise(0).alias("label"),
+        *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 10.0).alias(c) for c in cells],
+    )
+    seen = []
+
+    def derive(df):
+        out = R.window_features(df)
+        seen.append((df.columns, out))
+        return out
+
+    for order in (False, True):
+        seen.clear()
+        data = modelling.prepare_train_test(rows, cells, folds=2, reference_order=order, derive=derive)
+        assert not any("balance_mean" in columns for columns, _ in seen) and "balance_mean" in data.features
+        made = [df.filter("synthetic") for columns, df in seen if "synthetic" in columns]
+        assert made and not made[0].isEmpty() and not data.train.filter("synthetic").isEmpty()
+        own = F.array(*[F.col(f"balance_{k}") for k in range(1, R.FEATURE_PERIODS + 1)])
+        mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / R.FEATURE_PERIODS
+        off = (F.col("balance_min") != F.array_min(own)) | (F.col("balance_max") != F.array_max(own)) | (F.abs(F.col("balance_mean") - mean) > 1e-9)
+        assert made[0].filter(off).isEmpty()
+
+
+def test_a_large_amount_is_read(spark, tmp_path):
+    from propensia.sources.schemas import ORDER, narrow_money
+    from propensia.sources.tables import csv_scan
+
+    (tmp_path / "order.csv").write_text('"order_id";"account_id";"bank_to";"account_to";"amount";"k_symbol"\n1;2;"AB";3;2500000.00;"X"\n')
+    assert str(csv_scan(spark, str(tmp_path / "order.csv"), ORDER).first()["amount"]) == "2500000.00"
+    assert narrow_money(ORDER)["amount"].dataType.precision == 8
+
+
+def test_one_row_cannot_be_balanced(spark):
+    rows = spark.range(40).select("id", (F.col("id") == 7).cast("int").alias("label"), F.rand(1).alias("x"))
+    with pytest.raises(ValueError):
+        V.smote(rows, "id", "label", ["x"])
