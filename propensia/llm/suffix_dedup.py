@@ -8,8 +8,9 @@ bucket of the smallest such hash of the string that starts there, and consecutiv
 2. The others' bytes, and those of one of each set of equal runs, are sent to their bucket's task, where all suffixes are sorted: by their first eight bytes, then by a
    mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours with a common extension of ``LENGTH`` are equal; that is verified on the bytes.
-3. A bucket of more than ``BUCKET_STRINGS`` strings is not gathered: each of its strings is a row of its two hashes, and equal rows
-   are counted before and after the shuffle.
+3. Runs of a bucket of more than ``FINE_STRINGS`` strings are cut once more, by the smallest hash of ``FINE_GRAM`` bytes. A
+   bucket that still has more than ``BUCKET_STRINGS`` is not gathered: each of its strings is a row of two hashes, and
+   equal rows are counted before and after the shuffle.
 
 Texts are named by a 64-bit hash; equal texts are looked at once, and wholly removed if long enough.
 """
@@ -26,14 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from propensia.llm.tokens import Block, blocks, mix, powers, prefix_hashes, sliding_min
 from propensia.session import stage
 
-LENGTH, GRAM = 400, 200
-WINDOW = LENGTH - GRAM + 1
-BUCKET_STRINGS = 1_000_000
+LENGTH, GRAM, FINE_GRAM = 400, 200, 380
+FINE_STRINGS, BUCKET_STRINGS = 500_000, 1_000_000
 PIECE = 16 << 20
 TASK_SUFFIXES = 500_000
 
 
-def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, bounds: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(row, first place, last place, hash, hash of all bytes, again) of the runs of texts laid end to end.
 
     A place is where a string of ``LENGTH`` bytes starts; places are counted from the start of ``data``. ``again`` marks
@@ -44,9 +44,9 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none, none.astype(bool)
     sums = prefix_hashes(data)
     back = powers(len(data))[1]
-    n = len(data) - GRAM + 1
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[:n])
-    least = sliding_min(grams, WINDOW)
+    n, window = len(data) - gram + 1, LENGTH - gram + 1
+    grams = mix((sums[gram:] - sums[:-gram]) * back[:n])
+    least = sliding_min(grams, window)
     row = np.searchsorted(bounds, np.arange(len(least)), "right") - 1
     inside = np.arange(len(least)) + LENGTH <= bounds[np.minimum(row + 1, len(bounds) - 1)]
     new = np.ones(len(least), bool)
@@ -58,9 +58,9 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     after = np.append(edge, len(least))[np.searchsorted(edge, first, "right")]
     last = after - 1
     whole = mix((sums[last + LENGTH] - sums[first]) * back[first], 1) ^ mix((last - first).astype(np.uint64), 2)
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window)
     left = first + (view[first] == least[first, None]).argmax(axis=1)
-    right = last + WINDOW - 1 - (view[last][:, ::-1] == least[first, None]).argmax(axis=1)
+    right = last + window - 1 - (view[last][:, ::-1] == least[first, None]).argmax(axis=1)
     return row[first], first, last, least[first].view(np.int64), whole.view(np.int64), left != right
 
 
@@ -100,13 +100,17 @@ class Suffixes:
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension, at most ``LENGTH``."""
-        low, high = np.zeros(len(i), np.int64), np.full(len(i), LENGTH)
+        out = np.full(len(i), LENGTH)
+        short = np.flatnonzero(self.hashes(i, LENGTH) != self.hashes(j, LENGTH))
+        i, j = i[short], j[short]
+        low, high = np.zeros(len(i), np.int64), np.full(len(i), LENGTH - 1)
         for _ in range(LENGTH.bit_length()):
             middle = (low + high + 1) >> 1
             same = self.hashes(i, middle) == self.hashes(j, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
             high = np.maximum(low, high)
-        return low
+        out[short] = low
+        return out
 
     def less(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.common(i, j)
@@ -228,33 +232,44 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted runs; of hot buckets two hashes of every string instead."""
+    """Bytes of the wanted runs; those of hot buckets cut into finer runs with keys of their own."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "tid", "first", "bytes"])
+
     for batch in batches:
         texts, rows, size = batch.column("text").cast(pa.large_binary()), [], 0
         for tid, text, wanted in zip(batch.column("tid").to_pylist(), texts, batch.column("runs")):
             raw = text.as_buffer()
             for r in wanted.as_py():
+                part = raw[r["first"] : r["last"] + LENGTH].to_pybytes()
                 if not r["hot"]:
-                    rows.append((r["key"], tid, r["first"], None, None, raw[r["first"] : r["last"] + LENGTH].to_pybytes()))
+                    rows.append((r["key"], tid, r["first"], part))
                 else:
-                    part = np.frombuffer(raw, np.uint8)[r["first"] : r["last"] + LENGTH]
-                    n = len(part) - LENGTH + 1
-                    twice = []
-                    for data in (part, part ^ np.uint8(0x5A)):
-                        sums = prefix_hashes(data)
-                        twice.append(mix((sums[LENGTH:] - sums[:-LENGTH]) * powers(len(data))[1][:n]).view(np.int64).tolist())
-                    rows += [(r["key"], tid, r["first"] + i, x, y, None) for i, (x, y) in enumerate(zip(*twice))]
-                size += 600
+                    _, first, last, key, _, _ = runs(np.frombuffer(part, np.uint8), np.array([0, len(part)]), FINE_GRAM)
+                    for f, e, k in zip(first.tolist(), last.tolist(), mix(key.view(np.uint64), 3).view(np.int64).tolist()):
+                        rows.append((k, tid, r["first"] + f, part[f : e + LENGTH]))
+                        size += LENGTH
+                size += len(part)
                 if size > 8 << 20:
-                    yield _context_batch(rows)
+                    yield batch_of(rows)
                     rows, size = [], 0
         if rows:
-            yield _context_batch(rows)
+            yield batch_of(rows)
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "tid", "first", "h1", "h2", "bytes"])
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of every string."""
+    for batch in batches:
+        for tid, first, part in zip(batch.column("tid").to_pylist(), batch.column("first").to_pylist(), batch.column("bytes")):
+            data = np.frombuffer(part.as_buffer(), np.uint8)
+            n, twice = len(data) - LENGTH + 1, []
+            for d in (data, data ^ np.uint8(0x5A)):
+                sums = prefix_hashes(d)
+                twice.append(mix((sums[LENGTH:] - sums[:-LENGTH]) * powers(len(d))[1][:n]).view(np.int64))
+            columns = [np.full(n, tid), first + np.arange(n), *twice]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tid", "first", "h1", "h2"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +313,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = found.groupBy("key", "whole").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("last") - F.col("first") + 1).alias("n"), F.max("again").alias("again"))
     equal = stage(equal, "equal")
     shared = equal.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.sum("n").alias("n"), F.max((F.col("low") == F.col("high")) | F.col("again")).alias("open"), F.max("again").alias("again")).where("l < h or again")
-    shared = stage(shared.select("key", "open", (F.col("n") > BUCKET_STRINGS).alias("hot")), "shared")
+    shared = stage(shared.select("key", "open", (F.col("n") > FINE_STRINGS).alias("hot")), "shared")
     marks = equal.join(shared, "key").select("key", "whole", "hot", (F.col("low") < F.col("high")).alias("done"), F.when(F.col("open"), F.col("low")).alias("sent"))
     # of runs that are equal as a whole one goes to the bucket, for those that share only some of its strings
     marked = found.join(stage(marks, "marks"), ["key", "whole"]).withColumn("sent", ~F.col("done") | F.coalesce(F.col("sent") == place, F.lit(False)))
@@ -313,12 +328,14 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = stage(held, "held")
     open_runs = F.filter("runs", lambda r: r["sent"])
     contexts = held.where(F.size(open_runs) > 0).select("tid", "text", open_runs.alias("runs"))
-    contexts = stage(contexts.mapInArrow(_contexts, "key long, tid long, first long, h1 long, h2 long, bytes binary"), "contexts")
+    contexts = stage(contexts.mapInArrow(_contexts, "key long, tid long, first long, bytes binary"), "contexts")
 
     span = "tid long, start long, end long"
-    plain = contexts.where(F.col("bytes").isNotNull()).select("key", "tid", "first", "bytes")
+    large = contexts.groupBy("key").agg(F.sum(F.octet_length("bytes") - LENGTH + 1).alias("n")).where(F.col("n") > BUCKET_STRINGS).select("key")
+    large = stage(large, "large")
+    plain = contexts.join(large, "key", "left_anti")
     judged = plain.repartition("key").sortWithinPartitions("key", "tid", "first").mapInArrow(_judged, span)
-    strings = contexts.where(F.col("bytes").isNull())
+    strings = contexts.join(large, "key").select("tid", "first", "bytes").mapInArrow(_strings, "tid long, first long, h1 long, h2 long")
     twice = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h1", "h2")
     hot = strings.join(stage(twice, "twice"), ["h1", "h2"]).select("tid", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("end"))
     done = marked.where("done").select("tid", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))

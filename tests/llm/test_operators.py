@@ -142,9 +142,10 @@ def plain_repeats(pairs):
     return multiset(out)
 
 
-@pytest.mark.parametrize("strings", [suffix_dedup.BUCKET_STRINGS, 100])
+@pytest.mark.parametrize("strings", [suffix_dedup.BUCKET_STRINGS, 300, 20])
 def test_repeated_strings(make, corpus, monkeypatch, strings):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", strings)  # the second value sends buckets through counting
+    monkeypatch.setattr(suffix_dedup, "FINE_STRINGS", min(strings, 300))  # small values cut buckets anew and count them
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", strings)
     got = suffix_dedup.remove_repeated(make(corpus)).drop("spans").collect()
     assert multiset(got) == plain_repeats(corpus)
 
