@@ -108,6 +108,13 @@ def _tokens(row: dict) -> Tokens:
     return Tokens(np.frombuffer(row["vocabulary"], np.uint64), word, np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time; binary values as views of the batch."""
+    columns = [(n, batch.column(n), pa.types.is_binary(batch.schema.field(n).type)) for n in batch.schema.names]
+    for i in range(batch.num_rows):
+        yield {n: (c[i].as_buffer() if raw else c[i].as_py()) if c[i].is_valid else None for n, c, raw in columns}
+
+
 def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
     """Where sorted keys pass from one equal slice of the key space to the next."""
     edges = [(i << 64) // slices for i in range(1, slices)]
@@ -117,7 +124,7 @@ def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
 def _questions(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 t = _tokens(row)
                 fold = np.repeat(np.array(row["folds"]), np.diff(t.bounds))
                 pairs, at, _ = t.pairs()
@@ -150,7 +157,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if here != (row["kind"], row["slice"]):
                 if held:
                     yield from flush()
@@ -175,7 +182,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Tokens
         return here, t, counts
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if row["kind"] == 0:
                 if here:
                     yield done()
