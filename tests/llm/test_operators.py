@@ -187,6 +187,18 @@ def test_shared_passages_are_marked_in_later_documents(make, corpus):
     assert all(got[d].n_dup_words == 0 and got[d].n_links == 0 for d in (400, 401, 402, 403, 501))
 
 
+def shingled(text):
+    (block,) = tokens.blocks(pa.array([text]))
+    return tokens.grams(tokens.words(block).hashes, compact_windows.SHINGLE)
+
+
+@pytest.mark.parametrize("lead, length", [(20, 50), (20, 54), (20, 70), (28, 60)])
+def test_a_passage_whose_start_stands_earlier_too(rng, lead, length):
+    left, rest = prose(rng, lead), prose(rng, length - lead)
+    starts = compact_windows.similar_stretches(shingled(f"{left} {prose(rng, 40)} {left} {rest}"), shingled(f"{left} {rest}"))
+    assert starts.tolist() == list(range(length - compact_windows.PASSAGE + 1))
+
+
 def test_licences(make):
     notice = license_scan.NOTICES["gpl-header"]
     cut = " ".join(notice.split()[:-5])
