@@ -187,6 +187,19 @@ def test_shared_passages_are_marked_in_later_documents(make, corpus):
     assert all(got[d].n_dup_words == 0 and got[d].n_links == 0 for d in (400, 401, 402, 403, 501))
 
 
+def test_every_pair_with_a_passage_is_linked(make, rng, monkeypatch):
+    passage = prose(rng, 90)
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(14)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[3]) for i in range(5)] + [(200, prose(rng, 90)), (100, texts[3])]
+    for hot, block in ((16, 512), (2, 3)):  # the second values let hot keys meet block by block
+        monkeypatch.setattr(compact_windows, "HOT", hot)
+        monkeypatch.setattr(compact_windows, "BLOCK", block)
+        got = {r.doc_id: r for r in compact_windows.repeated_passages(make(rows)).collect()}
+        assert all(r.n_links == (0 if d == 200 else 18) and r.class_id == (200 if d == 200 else 0) for d, r in got.items())
+        assert got[0].n_dup_words == 0 and all(90 <= got[i].n_dup_words <= 130 for i in range(1, 14))
+        assert all(got[100 + i].n_dup_words == got[100 + i].n_words for i in range(5))
+
+
 def shingled(text):
     (block,) = tokens.blocks(pa.array([text]))
     return tokens.grams(tokens.words(block).hashes, compact_windows.SHINGLE)
