@@ -212,6 +212,15 @@ def test_a_passage_whose_start_stands_earlier_too(rng, lead, length):
     assert starts.tolist() == list(range(length - compact_windows.PASSAGE + 1))
 
 
+def test_passages_within_a_document_and_few_misses(make, rng):
+    assert (1 - compact_windows.NUM / compact_windows.DEN) ** compact_windows.HASHES < 5e-6
+    passage = prose(rng, 60)
+    rows = [(1, f"{passage} {prose(rng, 20)} {passage} {prose(rng, 10)}"), (2, prose(rng, 150)), (3, "ab " * 120)]
+    got = {r.doc_id: r for r in compact_windows.repeated_passages(make(rows)).collect()}
+    assert 60 <= got[1].n_dup_words <= 90 and got[1].spans[0].start >= 60 and got[1].n_links == 0
+    assert got[2].n_dup_words == 0 and got[3].n_dup_words > 0
+
+
 def test_licences(make):
     notice = license_scan.NOTICES["gpl-header"]
     cut = " ".join(notice.split()[:-5])
