@@ -1,10 +1,8 @@
-"""Licence notices in texts: minima over overlapping windows find templates, exact containment decides.
+"""Licence notices in texts: all shingles of the templates are looked up, exact containment decides.
 
-A template of m words is looked for in windows of 2m words that start every m words of a class of similar lengths, so
-each occurrence lies whole in one. A window that contains 0.75 of a template's shingles has a similarity of a third at
-least; with 32 bands of one minimum it shares none of them with probability (2/3)**32 = 2e-6. Found pairs of
-text and template are verified on the text's own shingles. Templates are few and fixed, so all work is one pass without a
-shuffle.
+Each text's shingles are looked up in the sorted shingles of all templates. A pair of text and template with 0.75 of the
+template's shingles anywhere in the text is verified by place, so no stretch is missed. Templates are few and fixed, so all
+work is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from propensia.llm.minhash import FACTORS, SHIFTS
 from propensia.llm.tokens import grams, words, blocks
 from propensia.llm.winnowing import stream
 
-SHINGLE, BANDS = 5, 32
+SHINGLE = 5
 LEAST = 0.75
 
 # fixed values: the wording of common licence notices
@@ -39,13 +36,11 @@ NOTICES = {
 class Template(NamedTuple):
     name: str
     words: int
-    stride: int
     shingles: np.ndarray
-    minima: np.ndarray
 
 
 def templates(notices: dict[str, str]) -> list[Template]:
-    """Shingles (of five words; the whole text if it has fewer) and minima; notices without words are left out."""
+    """Shingles (of five words; the whole text if it has fewer); notices without words are left out."""
     out = []
     for name, text in sorted(notices.items()):
         (block,) = blocks(pa.array([text]))
@@ -53,8 +48,7 @@ def templates(notices: dict[str, str]) -> list[Template]:
         m = len(w.hashes)
         if m:
             shingles = np.unique(grams(w.hashes, min(SHINGLE, m)))
-            least = np.array([(shingles * FACTORS[j] + SHIFTS[j]).min() for j in range(BANDS)])
-            out.append(Template(name, m, 1 << (m - 1).bit_length(), shingles, least))
+            out.append(Template(name, m, shingles))
     return out
 
 
@@ -75,6 +69,14 @@ def best(at: np.ndarray, which: np.ndarray, t: Template) -> tuple[float, int, in
 
 
 def _scan(wanted: list[Template]):
+    tables = []
+    for k in sorted({min(SHINGLE, t.words) for t in wanted}):
+        mine = [t for t in wanted if min(SHINGLE, t.words) == k]
+        shingles = np.concatenate([t.shingles for t in mine])
+        order = np.argsort(shingles, kind="stable")
+        owner, number = (np.concatenate(x)[order] for x in ([np.full(len(t.shingles), n) for n, t in enumerate(mine)], [np.arange(len(t.shingles)) for t in mine]))
+        tables.append((k, mine, shingles[order], owner, number))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
@@ -82,32 +84,26 @@ def _scan(wanted: list[Template]):
                 s = stream(w, 0x11CE)
                 base = w.bounds[:-1] + np.arange(block.rows) + 1
                 rows = []
-                for k in {min(SHINGLE, t.words) for t in wanted}:
+                for k, mine, shingles, owner, number in tables:
                     g = grams(s, k)
-                    mine = [t for t in wanted if min(SHINGLE, t.words) == k]
-                    pairs: set[tuple[int, int]] = set()
-                    if len(g):
-                        for j in range(BANDS):
-                            values = g * FACTORS[j] + SHIFTS[j]
-                            for stride in {t.stride for t in mine}:
-                                least = np.minimum.reduceat(values, np.arange(0, len(values), stride))
-                                window = least.copy()  # two strides from each start hold any 2m words' template
-                                window[:-1] = np.minimum(window[:-1], least[1:])
-                                for n, t in enumerate(mine):
-                                    if t.stride == stride:
-                                        for hit in np.flatnonzero(window == t.minima[j]).tolist():
-                                            lo, hi = np.searchsorted(base, [hit * stride, (hit + 2) * stride + 1], "right") - 1
-                                            pairs.update((r, n) for r in range(max(lo, 0), hi + 1))
-                    for r, n in sorted(pairs):
-                        t, lo, hi = mine[n], int(base[r]), int(base[r] + w.bounds[r + 1] - w.bounds[r])
-                        own = g[lo : max(lo, hi - k + 1)]
-                        place = np.searchsorted(t.shingles, own)
-                        place[place == len(t.shingles)] = 0
-                        at = np.flatnonzero(t.shingles[place] == own)
-                        if len(at):
-                            share, start, found = best(at, place[at], t)
+                    low = np.searchsorted(shingles, g)
+                    places = np.flatnonzero(shingles[np.minimum(low, len(shingles) - 1)] == g)
+                    low = low[places]
+                    count = np.searchsorted(shingles, g[places], "right") - low
+                    # a shingle may be of several templates
+                    entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    at = np.repeat(places, count)
+                    row = np.searchsorted(base, at, "right") - 1
+                    order = np.lexsort((at, owner[entry], row))
+                    at, row, entry = at[order], row[order], entry[order]
+                    pair = row * len(mine) + owner[entry]
+                    cuts = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))
+                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        r, t = int(row[lo]), mine[int(owner[entry[lo]])]
+                        if hi - lo >= LEAST * len(t.shingles):
+                            share, start, found = best(at[lo:hi] - base[r], number[entry[lo:hi]], t)
                             if share >= LEAST:
-                                rows.append((block.first + r, t.name, share, start, found))
+                                rows.append((block.first + r, t.name, share, int(start), found))
                 if rows:
                     row, *rest = zip(*sorted(rows))
                     ids = batch.column("id").take(pa.array(row))

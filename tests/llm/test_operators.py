@@ -231,6 +231,15 @@ def test_licences(make):
     assert 0.75 <= got[3, "gpl-header"].containment < 1
 
 
+def test_short_notices_are_never_missed(make):
+    rows = [(i, f"{'a%d ' % i * (i % 23)}Released under the MIT License. b{i} c") for i in range(400)]
+    assert {r.doc_id for r in license_scan.scan(make(rows)).collect() if r.license == "mit"} == set(range(400))
+    # as many words between the halves as twice the template's allow
+    half = license_scan.NOTICES["gpl-header"].split()
+    spread = [(i, " ".join(["x%d" % i] * i + half[:14] + ["y"] * 24 + half[14:])) for i in range(64)]
+    assert {r.doc_id for r in license_scan.scan(make(spread)).collect() if r.license == "gpl-header"} == set(range(64))
+
+
 # --- packing
 
 
