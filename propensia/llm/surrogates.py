@@ -30,9 +30,10 @@ NEUTRAL = "Dr Prof Mx"
 HONORIFICS = {w: g for g, ws in (("m", MALE), ("f", FEMALE), ("n", NEUTRAL)) for w in ws.split()}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
 _NAME = rf"{_CAPITAL}[^\W\d_]{{1,30}}(?:[-'’]{_CAPITAL}[^\W\d_]{{1,30}}){{0,2}}"
+_SECRET = r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]"
 PATTERNS = {
-    "secret": r"(?P<secret_lead>\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9][A-Za-z0-9_+/~-]{5,200})",
-    "access_key": r"(?<![A-Za-z0-9])(?P<access_key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})(?![A-Za-z0-9])",
+    "secret": rf"(?P<secret_lead>{_SECRET}\s{{0,3}}[\"']?)(?P<secret>[A-Za-z0-9][A-Za-z0-9_+/~-]{{5,}}+)",
+    "access_key": r"(?<![A-Za-z0-9])(?P<access_key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])",
     "email": r"(?<![\w.+-])(?P<email>[\w+-](?:[\w.+%-]{0,62}[\w+-])?@[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}\.[^\W\d_]{2,24})",
     "ip": r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
@@ -42,7 +43,8 @@ PATTERNS = {
     "name": rf"\b(?P<honorific>{'|'.join(sorted(HONORIFICS, key=len, reverse=True))})(?P<gap>\.?[  ])(?P<name>{_NAME}(?:[  ]{_NAME}){{0,2}})",
 }
 FINDER = re.compile("|".join(PATTERNS.values()))
-HINT = re.compile(r"[0-9@]")
+#: every match of the patterns without an honorific holds one of these
+HINT = re.compile(rf"[\d@]|AKIA|ASIA|gh[pousr]_|sk-|{_SECRET}")
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SYLLABLES = {

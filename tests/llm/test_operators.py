@@ -391,6 +391,12 @@ def test_surrogates_are_consistent_and_distinct(make, monkeypatch):
     assert surrogates.with_surrogates(columns, b"k").columns == columns.columns
 
 
+@pytest.mark.parametrize("text", ["password: correcthorse", "a token = abcdefgh b", "pwd=letmein", "sk-" + "abcdefgh" * 40, "secret: " + "x1" * 300, "ghp_" + "Ab1" * 100])
+def test_whole_secrets_without_other_hints(text):
+    ((start, end, _, canon, _),) = surrogates.mentions(text)
+    assert canon == text[start:end] and end == len(text.removesuffix(" b"))
+
+
 def test_colliding_surrogates_are_redrawn(spark, monkeypatch):
     entities = [("email", f"{a}{b}@x.com") for a in "abcdefgh" for b in "0123456789"]
     frame = spark.createDataFrame(entities, "kind string, canon string")
