@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propensia.llm import compact_windows, interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
+from propensia.llm import bpe, compact_windows, interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_compact_window_passages")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_bpe_round_trip")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True).drop("text")
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
