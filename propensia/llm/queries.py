@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from propensia.llm import bpe, compact_windows, interpolation, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
+from propensia.llm import bpe, compact_windows, hard_negatives, interpolation, lexical, license_scan, minhash, packing, suffix_dedup, surrogates, warc, weak_rules, winnowing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,56 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+NEGATIVES_SQL = """
+with raw as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, embedding from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from raw),
+s as materialized (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as materialized (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::integer as rank,
+  id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, id) <= 5
+"""
+
+
+@query("op12_threshold_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.quantised(vectors.withColumn("label", moved)), F.col("id") % 100 == 0)
+
+
+LEXICAL_SQL = r"""
+with d as materialized (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), s as (select count(*) filter (len(ws) > 0) as big_n, sum(len(ws))::bigint as big_l from d),
+t as materialized (select doc_id, r, len(ws)::bigint as n, unnest(ws) as term from d),
+tf as materialized (select doc_id, r, n, term, count(*) as tf from t group by all),
+df as (select term, count(*) as df from tf group by 1),
+q as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), w as materialized (select item_id, term, floor(1000 * ln((2.0::double * big_n + 2) / (2 * df + 1)))::bigint as w from q join df using (term), s),
+x as (
+  select item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::bigint as score
+  from w join tf using (term), s group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from x where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
+
+@query("op13_ranked_lexical_search", LEXICAL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
