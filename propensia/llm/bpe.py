@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, types as T
 
 from propensia.llm.tokens import LOWER, Block, blocks, span_hashes
 
-CACHED = 300_000
+CACHED = 100_000
+BLOCK_BYTES = 1 << 20
 SHORT = 64
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 MERGED_ROWS = 1 << 14
@@ -364,12 +365,13 @@ def _ids(raw: list[bytes], packed: bool) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
-def _encoded(path: str, column: str, into: str, packed: bool):
+def _encoded(path: str, column: int, kept: int, into: str, packed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
         for batch in batches:
-            for block in blocks(batch.column(column)):
-                yield batch.slice(block.first, block.rows).append_column(into, _ids(coder.block(block), packed))
+            rows = batch.select(range(kept))
+            for block in blocks(batch.column(column), BLOCK_BYTES):
+                yield rows.slice(block.first, block.rows).append_column(into, _ids(coder.block(block), packed))
 
     return run
 
@@ -388,20 +390,23 @@ def _decoded(path: str, column: str, into: str):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", into: str = "ids", packed: bool = False) -> DataFrame:
-    """``docs`` with the token ids of every text in column ``into``, without special tokens added.
+def encode(
+    docs: DataFrame, vocabulary: str, text_col: str = "text", into: str = "ids", packed: bool = False, keep: list[str] | None = None,
+) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all if not given) with the token ids of every text in column ``into``, without special tokens added.
 
     Ids are an array of int, or with ``packed`` binary: little-endian unsigned 32-bit integers, as token files hold them.
     ``vocabulary`` is the path of a tokenizer file that every executor can read.
 
     Null and empty texts have no ids (an empty array). Every row is encoded on its own, repeated rows and ids included; no
-    rows give no rows. All other columns are kept; one named ``into`` is replaced. A text is whole in one task's
-    memory; a single word of n letters takes about 300 n bytes.
-    Two different words of about 2 MB of text are one with a chance of 2^-64 a pair.
+    rows give no rows. A column named ``into`` is replaced. A text is whole in one task's memory; a single word of n
+    letters takes about 300 n bytes. Two different words of a block of texts are one with a chance of 2^-64 a pair.
     """
-    docs = docs.drop(into)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoded(vocabulary, text_col, into, packed), schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(into, kind)])
+    read = [*keep, text_col] if text_col not in keep else keep
+    return docs.select(*read).mapInArrow(_encoded(vocabulary, read.index(text_col), len(keep), into, packed), schema)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propensia.llm.cells import Best, best_of_each, meet, table_of
-from propensia.session import stage
+from propensia.session import parallel_buckets, stage
 
 BLOCK_ROWS = 4096
 GROUP_ROWS = 256
@@ -203,8 +203,8 @@ def hard_negatives(
     # anchors are found again in the blocks, which fix a row's place
     places = stage(blocks.mapInArrow(_places(dims), "block long, row long, id long, label long, vec array<long>").withColumn("anchor", F.coalesce(anchors, F.lit(False))).where("anchor").drop("anchor"), "anchors")
     n_blocks = blocks.count()
-    shards, groups = max(1, -(-n_blocks // cell)), max(1, -(-n_anchors // (GROUP_ROWS * cell)))
-    wide = max(shards * groups, 1)
+    shards = max(1, -(-n_blocks // cell), min(n_blocks, parallel_buckets(spark)))
+    groups = max(1, -(-n_anchors // (GROUP_ROWS * cell)))
     shard, group = F.pmod(F.xxhash64("block"), F.lit(shards)), F.pmod(F.xxhash64("block", "row"), F.lit(groups))
     blocks = blocks.withColumn("shard", shard)
     placed = places.withColumn("grp", group)
@@ -214,7 +214,7 @@ def hard_negatives(
     mine = placed.join(by_label, "label").select("shard", "grp", "block", "row", "label", "vec")
     cells = mine.select("shard", "grp").distinct()
     dealt = blocks.join(cells, "shard").select("shard", "grp", "block", "ids", "label", "vecs", "lists")
-    met = meet(dealt, mine, wide, _positives(dims, most, positives), "block long, row long, id long, score long")
+    met = meet(dealt, mine, shards * groups, _positives(dims, most, positives), "block long, row long, id long, score long")
     found = stage(best_of_each(met, ["block", "row"], positives), "positives")
 
     # second round: every cell
@@ -222,7 +222,7 @@ def hard_negatives(
     asked = placed.join(windows, ["block", "row"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     dealt = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("shard", "grp", "block", "ids", "label", "vecs", "lists")
     asked = asked.select("shard", "grp", "block", "row", "label", "vec", "scores")
-    met = meet(dealt, asked, wide, _negatives(dims, most, negatives, low, high), "block long, row long, positive_score long, id long, score long")
+    met = meet(dealt, asked, shards * groups, _negatives(dims, most, negatives, low, high), "block long, row long, positive_score long, id long, score long")
     best = best_of_each(met, ["block", "row", "positive_score"], negatives).select("block", "row", "positive_score", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = found.select("block", "row", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return places.select("block", "row", F.col("id").alias("anchor_id")).join(named, ["block", "row"]).join(best, ["block", "row", "positive_score"]).select(

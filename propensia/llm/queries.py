@@ -141,7 +141,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_bpe_round_trip")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True).drop("text")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, packed=True, keep=["doc_id"])
     return bpe.decode(ids, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

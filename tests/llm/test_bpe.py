@@ -82,7 +82,7 @@ def test_frames_with_odd_rows(make, corpus):
     """Nulls, empty and long texts, repeated rows, clashing names, arrays and packed ids, empty tables."""
     path = public_tokenizers.path(FILES[0])
     library = Tokenizer.from_file(path)
-    docs = make(corpus).withColumnRenamed("n_words", "ids")
+    docs = make(corpus).withColumnRenamed("n_words", "ids").withColumnRenamed("row", "_text")
     for packed in (False, True):
         rows = bpe.decode(bpe.encode(docs, path, packed=packed), path).collect()
         assert len(rows) == len(corpus) and "key" in rows[0]
