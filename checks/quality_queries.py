@@ -116,6 +116,16 @@ def q11(spark, sf):
     return rounded(Q.corr_matrix(B.table(spark, sf, "lineitem"), _NUM), "corr")
 
 
+_WIDE = ", ".join(B.FEATURES)
+
+
+@query("q11_corr_matrix_wide", sql(f"""select a.name as column_a, b.name as column_b, round(corr(a.v, b.v), 6) + 0.0 as corr
+    from (unpivot (select vec_id, {_WIDE} from vectors) on {_WIDE} into name name value v) a
+    join (unpivot (select vec_id, {_WIDE} from vectors) on {_WIDE} into name name value v) b using (vec_id) group by 1, 2"""))
+def q11w(spark, sf):
+    return rounded(Q.corr_matrix(B.vectors(spark, sf), B.FEATURES), "corr")
+
+
 @query("q12_series_corr", sql("select " + s6("corr(a, b)", "corr") + """ from (select period, count(*) as a from sums group by 1)
     join (select cast(date as date) as period, count(*) as b from entries where amount < 0 group by 1) using (period)"""))
 def q12(spark, sf):

@@ -1,8 +1,8 @@
 """Global orderings without a single-task window.
 
-``hash_rank`` and ``prefix_sums`` cut one order into many buckets, work inside the buckets in
+``hash_rank`` and ``prefix_sums`` cut one order into many buckets or ranges, work inside these in
 parallel and add per-bucket offsets. The offset tables have (groups x buckets) rows, so their
-windows and joins stay small whatever the data size.
+windows and joins stay small whatever the data size. Quantiles are sketched and then refined until exact.
 """
 
 from __future__ import annotations
@@ -111,92 +111,135 @@ def rank_section(group: str, hash_value: Column, key: str, cuts: dict[object, li
     return out
 
 
-BUCKET_ROWS = 100_000
+RANGE_ROWS = 100_000
 
 
-def prefix_sums(
-    df: DataFrame,
-    group: Sequence[str],
-    order: str,
-    values: Sequence[str],
-    buckets: int | None = None,
-    staged: bool = False,
-) -> DataFrame:
+def prefix_sums(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<value>`` in ascending ``order`` inside each group.
 
-    ``df`` has one row per (group, order); it is written once (unless ``staged`` says it is), as all
-    passes have to see the same rows, and its measured size sets the number of buckets. Bucket borders
-    are quantiles taken on the driver (groups x buckets numbers); they only balance the work, the sums
-    are exact for any borders.
+    ``df`` has one row per (group, order). Rows are range-sorted by group and order, and written once with the number of
+    their range, since ranges are drawn from a sample and all passes have to see the same ones. Each range is summed by
+    itself; a table of (group, range) totals gives what lies before it. Hot groups simply fill several ranges.
+    ``ranges`` defaults to the shuffle partitions, or more for over ``RANGE_ROWS`` rows each; sums are exact for any number.
     """
-    spark = df.sparkSession
-    df, keys = _keyed(df if staged else stage(df, "steps"), group)
-    buckets = buckets or max(1, math.ceil(df.count() / BUCKET_ROWS))
-    if buckets == 1:
-        inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values}).drop("_g")
-    cuts = [i / buckets for i in range(1, buckets)]
-    borders = df.groupBy(*keys).agg(F.percentile_approx(order, cuts, 8 * buckets).alias("_cuts"))
-    table = spark.createDataFrame(borders.collect(), borders.schema)
-    df = (
-        df.join(table, keys)
-        .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-        .drop("_cuts")
-    )
-    totals = df.groupBy(*keys, "_b").agg(*[F.sum(v).alias(v) for v in values])
+    df, keys = _keyed(df, group)
+    if ranges is None:
+        df = stage(df, "steps")
+        ranges = max(parallel_buckets(df.sparkSession), math.ceil(df.count() / RANGE_ROWS))
+    placed = df.repartitionByRange(ranges, *keys, order).withColumn("_b", F.spark_partition_id())
+    placed = stage(placed, "ranges")
+    totals = placed.groupBy(*keys, "_b").agg(*[F.sum(v).alias(v) for v in values])
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        df.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values})
+        placed.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values})
         .join(_offsets(totals, keys, values), [*keys, "_b"])
         .withColumns({f"cum_{v}": F.col(f"_i_{v}") + F.col(f"_o_{v}") for v in values})
         .drop("_b", "_g", *[f"_i_{v}" for v in values], *[f"_o_{v}" for v in values])
     )
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, accuracy: int = 1000) -> DataFrame:
-    """(column, value): exact interpolated quantile of each numeric column, nulls skipped.
-
-    A sketch per column brackets the wanted rank within n/accuracy rows; values below the bracket are
-    only counted, and the few inside are counted per distinct value and ordered. So next to nothing
-    is shuffled, and a value holding a large share of the rows is one row by then.
+#: items a quantile sketch keeps per level; up to so many values it holds all of them and is exact
+SKETCH = 4096
+
+
+def _sketch_error(k: int) -> float:
+    """Twice the rank error that a sketch of size ``k`` stays within for all quantiles at 99 % (Karnin, Lang, Liberty 2016)."""
+    return 2 * 2.296 / k**0.9021
+
+
+class _Search:
+    """One column's search: the ranks still open lie strictly between the values ``proven``; ``guess`` is tested next."""
+
+    def __init__(self):
+        self.proven = self.guess = (None, None)
+        self.found: dict[int, float] = {}
+
+    def counts(self, c: Column) -> dict[str, Column]:
+        """Rows in all, before the guess, on its low end, inside, and on its high end."""
+        low, high = self.guess
+        inside = c.isNotNull()
+        inside = inside & (c > low) if low is not None else inside
+        inside = inside & (c < high) if high is not None else inside
+        return {
+            "n": F.count(c), "before": F.count_if(c < low) if low is not None else F.lit(0), "on_low": F.count_if(c == low) if low is not None else F.lit(0),
+            "inside": F.count_if(inside), "on_high": F.count_if(c == high) if high not in (None, low) else F.lit(0), "sketch": F.when(inside, c),
+        }
+
+    def settle(self, ranks: set[int], before: int, on_low: int, inside: int, on_high: int) -> set[int]:
+        """Takes counts in; returns the open ranks if they are all inside the guess, else none and sets another guess."""
+        (low, high), (least, most) = self.guess, self.proven
+        start, end = before + on_low, before + on_low + inside
+        for r in ranks - self.found.keys():
+            if before <= r < start:
+                self.found[r] = low
+            elif end <= r < end + on_high:
+                self.found[r] = high
+        left = ranks - self.found.keys()
+        under, over = any(r < before for r in left), any(r >= end + on_high for r in left)
+        if not under and not over:
+            self.proven = self.guess
+            return left
+        within = any(start <= r < end for r in left) or (under and over)
+        self.proven = self.guess = (least if under else low if within else high, most if over else high if within else low)
+        return set()
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, k: int = SKETCH) -> DataFrame:
+    """(column, value): exact interpolated quantile of each numeric column; null and NaN are skipped, a column of these has none.
+
+    Every pass is one aggregate of the plain rows, one row of sketches and counts for all columns. A sketch of the values
+    strictly inside a column's guess gives a narrower one around the wanted ranks; the next pass counts what lies before and
+    on its ends, so a wrong guess only costs a pass, and a value that holds a large share of the rows is settled
+    by these counts. Once at most ``k`` values are inside, the sketch holds them all and the answer is exact. A pass narrows
+    a guess to some thousandths: two or three passes at any size. The driver sees a sketch (some 50 KB) per column and pass.
     """
     spark = df.sparkSession
-    long = (
-        df.select(*[F.expr(f"cast(`{c}` as double) as `{c}`") for c in cols])
-        .unpivot([], list(cols), "column", "v")
-        .filter(F.col("v").isNotNull())
-    )
-    slack = 2.0 / accuracy
-    edges = [max(0.0, q - slack), min(1.0, q + slack)]
-    sketch = long.groupBy("column").agg(
-        F.percentile_approx("v", edges, accuracy).alias("e"), F.count(F.lit(1)).alias("total")
-    )
-    bracket = [
-        (r["column"], r["total"], -math.inf if q <= slack else r["e"][0], math.inf if q >= 1 - slack else r["e"][1])
-        for r in sketch.collect()  # one row per column
-    ]
-    table = spark.createDataFrame(bracket, "column string, total long, low double, high double")
-    placed = long.join(table, "column").filter(F.col("v") <= F.col("high"))
-    below = F.col("v") < F.col("low")
-    counted = placed.groupBy(
-        "column", "total", F.when(~below, F.col("v")).alias("v")  # null: everything below the bracket
-    ).agg(F.count(F.lit(1)).alias("n"))
-    counted = stage(counted, "values")
-    under = counted.filter(F.col("v").isNull()).select("column", F.col("n").alias("under"))
-    inside = prefix_sums(counted.filter(F.col("v").isNotNull()), ["column"], "v", ["n"], staged=True)
-    at = (F.col("total") - 1) * F.lit(q)
-    upto = F.col("cum_n") + F.coalesce("under", F.lit(0))
-    covers = lambda pos: (upto > pos) & (upto - F.col("n") <= pos)
-    return (
-        inside.join(under, "column", "left")
-        .groupBy("column")
-        .agg(
-            F.max(F.when(covers(F.floor(at)), F.col("v"))).alias("lo"),
-            F.max(F.when(covers(F.ceil(at)), F.col("v"))).alias("hi"),
-            F.max(at - F.floor(at)).alias("part"),
-        )
-        .select("column", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
-    )
+    plain = {f"c{i}": F.col(c).cast("double") for i, c in enumerate(cols)}
+    rows = df.select(*[F.when(~F.isnan(c), c).alias(name) for name, c in plain.items()])
+    open_, slack = {i: _Search() for i in range(len(cols))}, _sketch_error(k)
+    out: dict[int, float] = {}
+    while open_:
+        cells = []
+        for i, search in open_.items():
+            counts = search.counts(F.col(f"c{i}"))
+            sketched = counts.pop("sketch")
+            cells += [c.alias(f"{name}{i}") for name, c in counts.items()]
+            cells.append(F.when(F.count(sketched) > 0, F.kll_sketch_agg_double(sketched, F.lit(k))).alias(f"sketch{i}"))
+        row = rows.agg(*cells).first()
+        asked, sketches, shares = [], [], []
+        for i, search in list(open_.items()):
+            n, before, on_low, inside, on_high = (row[f"{x}{i}"] for x in ("n", "before", "on_low", "inside", "on_high"))
+            if not n:
+                del open_[i]
+                continue
+            at = (n - 1) * q
+            ranks = {math.floor(at), math.ceil(at)}
+            left = search.settle(ranks, before, on_low, inside, on_high)
+            if left:
+                ends = sorted(left) if inside <= k else [min(left), max(left)]
+                off = [0.0] * len(ends) if inside <= k else [-slack, slack]
+                asked += [(i, r if inside <= k else None) for r in ends]
+                sketches += [row[f"sketch{i}"]] * len(ends)
+                shares += [min(1.0, max(0.0, (r - before - on_low + 0.5) / inside + o)) for r, o in zip(ends, off)]
+        got = []
+        if asked:
+            table = spark.createDataFrame([tuple(sketches)], ", ".join(f"s{j} binary" for j in range(len(asked))))
+            got = table.select(*[F.kll_sketch_get_quantile_double(f"s{j}", F.lit(share)) for j, share in enumerate(shares)]).first()
+        guesses: dict[int, list[float]] = {}
+        for (i, rank), value in zip(asked, got):
+            if rank is None:
+                guesses.setdefault(i, []).append(value)
+            else:
+                open_[i].found[rank] = value
+        for i, (low, high) in guesses.items():
+            open_[i].guess = (low, high)
+        for i, search in list(open_.items()):
+            at = (row[f"n{i}"] - 1) * q
+            if {math.floor(at), math.ceil(at)} <= search.found.keys():
+                lo, hi = search.found[math.floor(at)], search.found[math.ceil(at)]
+                out[i] = lo + (hi - lo) * (at - math.floor(at)) if hi != lo else lo
+                del open_[i]
+    return spark.createDataFrame([(c, out.get(i)) for i, c in enumerate(cols)], "column string, value double")
 
 
 def top_n(

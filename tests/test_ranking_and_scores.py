@@ -52,7 +52,7 @@ def test_exact_quantiles_with_a_tight_bracket(spark):
     v = np.round(rng.lognormal(size=4000), 2)
     df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(6)
     for q in (0.1, 0.5, 0.75):
-        got = K.exact_quantiles(df, ["v"], q, accuracy=100).first()["value"]
+        got = K.exact_quantiles(df, ["v"], q, k=64).first()["value"]
         assert abs(got - np.quantile(v, q)) < 1e-12
 
 
@@ -120,3 +120,23 @@ def test_best_model_needs_no_particular_list(spark):
     long = spark.createDataFrame(rows, "model string, metric string, value double")
     table = E.benchmark_table([long.filter("model = 'x'"), long.filter("model = 'y'")])
     assert E.weighted_best(table).first()["model"] == "y"
+
+
+@pytest.mark.parametrize("k", [16, 4096])
+def test_exact_quantiles_of_odd_columns(spark, k):
+    """Hot values, ties at the ends, few values, nulls, NaN and columns without values; small sketches take several passes."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    columns = {
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.normal(7, 3, n)), "steps": rng.integers(0, 3, n).astype(float), "one": np.full(n, -2.5),
+        "skewed": np.exp(rng.normal(0, 4, n)), "half": np.repeat([1.0, 2.0], n // 2), "edge": np.where(np.arange(n) < n // 2 + 1, 0.0, rng.random(n)),
+    }
+    rows = [(*[float(v[i]) for v in columns.values()], None, float("nan") if i % 2 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns) + ", gone double, partly double").repartition(5)
+    columns["partly"] = np.arange(0.0, n, 2)
+    for q in (0.0, 0.01, 0.5, 0.7501, 1.0):
+        got = {r["column"]: r["value"] for r in K.exact_quantiles(df, [*columns, "gone"], q, k).collect()}
+        assert got.pop("gone") is None
+        for c, v in columns.items():
+            assert abs(got[c] - np.quantile(v, q)) <= 1e-12 * max(1, abs(got[c])), (c, q)
+    assert K.exact_quantiles(df.limit(0), ["hot"]).first()["value"] is None
