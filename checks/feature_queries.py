@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import bindings as B
 from checks.registry import ORACLE, plain, query, r6, rounded, s6
 from propensia.functions import codes
+from propensia.operators.preprocess import Preprocessor, prepared_folds
 from propensia.operators import aggregates as A, evaluation as E, features as R, neighbors as N, sampling as V
 from propensia.plans import bank
 
@@ -177,6 +178,31 @@ def r10(spark, sf):
     return rounded(R.ColumnTransform(["balance"], ["segment"]).fit(rows).transform(rows), "balance")
 
 
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "RARE", "missing"]
+_FOLDED = """select c_custkey, c_custkey % 4 as fold, case when c_acctbal >= 50 * (c_custkey % 4) then c_acctbal end as balance,
+    case when c_custkey % 4 = 1 and c_mktsegment = 'MACHINERY' then 'RARE' else nullif(c_mktsegment, 'MACHINERY') end as segment from customer"""
+
+
+@query("r10_column_transform_folds", f"""with r as ({_FOLDED}),
+    m as (select f.fold as f, median(r.balance) as median from (select distinct fold from r) f join r on r.fold <> f.fold group by 1),
+    s as (select f, avg(coalesce(balance, median)) as mean, stddev_pop(coalesce(balance, median)) as deviation from m join r on r.fold <> f group by 1),
+    d as (select distinct f, coalesce(segment, 'missing') as seen from m join r on r.fold <> f)
+    select c_custkey, fold, round((coalesce(balance, median) - mean) / deviation, 6) + 0.0 as balance, """ + ", ".join(
+    f"cast(case when coalesce(segment, 'missing') = '{v}' and exists (select 1 from d where d.f = r.fold and seen = '{v}') then 1 else 0 end as double) as segment_{v}" for v in _SEGMENTS)
+    + " from r join m on m.f = r.fold join s on s.f = r.fold")
+def r10f(spark, sf):
+    B.table(spark, sf, "customer").createOrReplaceTempView("customer")
+    rows = spark.sql(_FOLDED).withColumn("balance", F.col("balance").cast("double"))
+    parts = prepared_folds(rows, Preprocessor(numericCols=["balance"], categoricalCols=["segment"]), 4)
+    out = None
+    for fold, (model, _, _) in enumerate(parts):
+        part = model.named(rows.filter(F.col("fold") == fold), ["c_custkey", "fold"])
+        unseen = {f"segment_{v}": F.lit(0.0) for v in _SEGMENTS if f"segment_{v}" not in part.columns}
+        part = part.withColumns(unseen) if unseen else part
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "balance")
+
+
 # ---- V -----------------------------------------------------------------------------------
 
 MODULUS = 1_000_003

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,12 +18,11 @@ from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam, HasSeed
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
     MLWritable, MLWriter,
@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from propensia.operators.evaluation import BEST_WEIGHTS, cv_metrics, weighted_best
 from propensia.operators.neighbors import knn_join, vote_share
-from propensia.session import stage
+from propensia.session import shared_path, stage
+from propensia.sources.artifacts import ArtifactStore
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -265,10 +266,14 @@ class KnnClassifierModel(Model, _Knn, MLWritable, MLReadable):
         super().__init__()
         self.donors = donors
 
+    def neighbours(self, df: DataFrame) -> DataFrame:
+        """The k nearest training rows of every row, see ``knn_join``."""
+        queries = df.select(F.col(self.getOrDefault(self.keyCol)).alias("id"), vector_to_array(self.getFeaturesCol()).alias("vec"))
+        return knn_join(queries, self.donors, self.getOrDefault(self.k))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         key = self.getOrDefault(self.keyCol)
-        queries = df.select(F.col(key).alias("id"), vector_to_array(self.getFeaturesCol()).alias("vec"))
-        near = knn_join(queries, self.donors, self.getOrDefault(self.k))
+        near = self.neighbours(df)
         votes = near.groupBy(F.col("id").alias(key)).agg(vote_share(self.getOrDefault(self.weights)).alias("_vote"))
         return _with_probability(df.join(votes, key), F.col("_vote")).drop("_vote")
 
@@ -378,42 +383,107 @@ class Evaluated:
     best: dict[str, object]
     grid: list[tuple[dict[str, object], float]]
     oof: DataFrame
+    features: list[str] = field(default_factory=list)
+    prepares: bool = False  # the model begins with its own feature preparation
+
+    def scored(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The kept columns with the best model's prediction and probability."""
+        return score(self.model, df if self.prepares else assemble(df, self.features), keep)
 
 
 def _named(params: Mapping) -> dict[str, object]:
     return {p.name: v for p, v in params.items()}
 
 
-def grid_search_cv(df: DataFrame, spec: ModelSpec, key: str, features: Sequence[str], folds: int, fold_col: str = "fold", label: str = "label", parallelism: int = 4) -> Evaluated:
-    """Best grid point by mean accuracy over the given folds, refitted on all rows.
+def _for_rows(params: Mapping, n: int, total: int) -> dict:
+    """A grid point for a fit on ``n`` of ``total`` rows: a penalty per row grows as the rows get fewer."""
+    return {p: v * total / n if p.name == "regParam" else v for p, v in params.items()}
+
+
+def _finished(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
-    The assembled rows are written once and read by every fit. The models fitted per fold are kept,
-    so the out-of-fold scores of the best point need no further fit.
-    """
-    rows = stage(assemble(df, spec.features or features).select(key, label, fold_col, "features"), "training", rebalance=True)
-    accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    search = CrossValidator(
-        estimator=spec.estimator, estimatorParamMaps=spec.grid, evaluator=accuracy, numFolds=folds,
-        foldCol=fold_col, parallelism=parallelism, collectSubModels=True,
-    ).fit(rows)
-    best = int(np.argmax(search.avgMetrics))
-    oof = None
-    for fold in range(folds):
-        part = score(search.subModels[fold][best], rows.filter(F.col(fold_col) == fold), [key, label, fold_col])
-        oof = part if oof is None else oof.unionByName(part)
-    points = [(_named(p), float(m)) for p, m in zip(spec.grid, search.avgMetrics)]
-    return Evaluated(spec.name, search.bestModel, _named(spec.grid[best]), points, oof.withColumn("model", F.lit(spec.name)))
 
+def _neighbour_scores(estimator: KnnClassifier, grid: Sequence[Mapping], train: DataFrame, test: DataFrame, keep: Sequence[str]):
+    """Scores by grid point from a single neighbour join with the largest k."""
+    most = max([estimator.getOrDefault(estimator.k), *[p[estimator.k] for p in grid if estimator.k in p]])
+    model = estimator.copy({estimator.k: most}).fit(train)
+    key = estimator.getOrDefault(estimator.keyCol)
+    near = stage(model.neighbours(test), "neighbours")
 
-def oof_predictions(df: DataFrame, estimator: Estimator, key: str, features: Sequence[str], folds: int, fold_col: str = "fold", label: str = "label") -> DataFrame:
-    """One score per row from a model that did not see the row's fold."""
-    rows = stage(assemble(df, features).select(key, label, fold_col, "features"), "training", rebalance=True)
-    out = None
+    def scores(params: Mapping) -> DataFrame:
+        point = estimator.copy(params)
+        votes = near.filter(F.col("rank") <= point.getOrDefault(point.k)).groupBy(F.col("id").alias(key))
+        votes = votes.agg(vote_share(point.getOrDefault(point.weights)).alias("probability"))
+        return test.select(*keep).join(votes, key).withColumn("prediction", (F.col("probability") > 0.5).cast("double")).select(*keep, "prediction", "probability")
+
+    return scores
+
+
+def grid_search_cv(
+    df: DataFrame, spec: ModelSpec, key: str, features: Sequence[str], folds: int, fold_col: str = "fold", label: str = "label",
+    parallelism: int = 4, preprocess: Estimator | None = None, path: str | None = None,
+) -> Evaluated:
+    """Best grid point by mean accuracy over the given folds, refitted on all rows.
+
+    Fold by fold: ``preprocess``, if given, is fitted on the other folds and makes the ``features`` vector (else the columns
+    are assembled as they are); the rows of the fold are written once, ``parallelism`` points are fitted at a time, and a
+    fit's out-of-fold scores are written to ``path`` (a folder of this run if none is given). No fitted model of a fold
+    is kept. A fit whose scores are complete is not made again, so a search stopped half way goes on where it was;
+    name ``path`` by ``artifacts.fingerprint`` to tie it to data and parameters. Accuracies come from the
+    written scores, and the scores of the best point are the result's. ``regParam`` values are meant for all rows and scaled to
+    the rows of a fit.
+    """
+    spark = df.sparkSession
+    names, path = list(spec.features or features), path or shared_path(spark, "grid")
+    df = df.select(*dict.fromkeys([key, label, fold_col, *names, *(preprocess.getOrDefault("categoricalCols") if preprocess else [])]))
+    made = [key, label, fold_col, "features"]
+    whole = df if preprocess else stage(assemble(df, names).select(*made), "training", rebalance=True)
+    total, place = df.count(), lambda point, fold: f"{path}/point={point}/fold={fold}"
     for fold in range(folds):
+        todo = [i for i in range(len(spec.grid)) if not _finished(spark, place(i, fold))]
+        if not todo:
+            continue
         inside = F.col(fold_col) == fold
-        part = score(estimator.fit(rows.filter(~inside)), rows.filter(inside), [key, label, fold_col])
-        out = part if out is None else out.unionByName(part)
-    return out
+        train, test = whole.filter(~inside), whole.filter(inside)
+        if preprocess:
+            fitted = preprocess.fit(train)
+            train = stage(fitted.transform(train).select(*made), "training", rebalance=True)
+            test = stage(fitted.transform(test).select(*made), "fold")
+        n, keep = train.count(), [key, label]
+        if isinstance(spec.estimator, KnnClassifier):
+            scores = _neighbour_scores(spec.estimator, spec.grid, train, test, keep)
+        else:
+            scores = lambda params: score(spec.estimator.fit(train, _for_rows(params, n, total)), test, keep)  # noqa: B023, E731
+
+        def run(point: int) -> None:
+            scores(spec.grid[point]).write.mode("overwrite").parquet(place(point, fold))  # noqa: B023
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(run, todo))
+    scored = spark.read.option("basePath", path).parquet(*[f"{path}/point={i}" for i in range(len(spec.grid))])
+    hits = scored.groupBy("point", "fold").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("hit"))
+    accuracy = {r["point"]: r["accuracy"] for r in hits.groupBy("point").agg(F.avg("hit").alias("accuracy")).collect()}  # a number per point
+    points = [(_named(p), accuracy[i]) for i, p in enumerate(spec.grid)]
+    best = max(range(len(points)), key=lambda i: (round(points[i][1], 12), -i))
+    oof = scored.filter(F.col("point") == best).select(key, label, F.col("fold").cast(df.schema[fold_col].dataType).alias(fold_col), "prediction", "probability")
+    model = _refitted(spec, spec.grid[best], whole, preprocess, made, path)
+    return Evaluated(spec.name, model, points[best][0], points, oof.withColumn("model", F.lit(spec.name)), names, preprocess is not None)
+
+
+def _refitted(spec: ModelSpec, params: Mapping, whole: DataFrame, preprocess: Estimator | None, made: Sequence[str], path: str) -> Model:
+    """The best point fitted on all rows, kept beside the scores."""
+
+    def fit() -> PipelineModel:
+        if preprocess is None:
+            return PipelineModel([spec.estimator.fit(whole, params)])
+        fitted = preprocess.fit(whole)
+        rows = stage(fitted.transform(whole).select(*made), "training", rebalance=True)
+        return PipelineModel([fitted, spec.estimator.fit(rows, params)])
+
+    model = ArtifactStore(whole.sparkSession, path).model("best", fit)
+    return model if preprocess else model.stages[0]
 
 
 def grid_frame(spark, results: Sequence[Evaluated]) -> DataFrame:
@@ -445,14 +515,10 @@ def lasso_select(df: DataFrame, features: Sequence[str], folds: int, key: str =
     """(feature, coefficient) of the features an L1 logistic fit keeps, strength chosen over folds."""
     n = df.count()
     strengths = np.logspace(-4, 0, 50) if cs is None else cs
-    lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=max_iter)
+    lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=max_iter, labelCol=label)
     spec = ModelSpec("lasso", lr, _grid(lr, regParam=[ridge_strength(float(c), n) for c in strengths]))
-    rows = stage(assemble(df, features).select(label, fold_col, "features"), "training", rebalance=True)
-    search = CrossValidator(
-        estimator=lr, estimatorParamMaps=spec.grid, numFolds=folds, foldCol=fold_col, parallelism=4,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-    ).fit(rows)
-    kept = [(f, float(c)) for f, c in zip(features, search.bestModel.coefficients.toArray()) if c != 0]
+    done = grid_search_cv(df, spec, key, features, folds, fold_col, label)
+    kept = [(f, float(c)) for f, c in zip(features, done.model.coefficients.toArray()) if c != 0]
     return df.sparkSession.createDataFrame(kept, "feature string, coefficient double")
 
 

@@ -11,8 +11,10 @@ from propensia.functions import codes
 from propensia.functions.clean import columns_by_type, drop_columns, select_by_pattern
 from propensia.operators import evaluation as E, features as R, models as M, sampling as V
 from propensia.operators.neighbors import knn_impute
+from propensia.operators.preprocess import Preprocessor
 from propensia.plans import bank
 from propensia.session import stage
+from propensia.sources.artifacts import ArtifactStore, fingerprint
 
 NOT_FEATURES = ("label", "account_id", "district_id_client")
 
@@ -80,17 +82,32 @@ def _impute(rows: DataFrame, key: str, features: Sequence[str], k: int, donors:
     return rows if rows.filter(gap).isEmpty() else knn_impute(rows, key, features, k, donors)
 
 
-def compare_models(data: TrainTest, specs: Sequence[M.ModelSpec], folds: int = 10) -> list[M.Evaluated]:
-    """Grid search and out-of-fold scores of every model on the training rows."""
-    return [M.grid_search_cv(data.train, s, data.key, data.features, folds, label=data.label) for s in specs]
+def compare_models(data: TrainTest, specs: Sequence[M.ModelSpec], folds: int = 10, store: ArtifactStore | None = None) -> list[M.Evaluated]:
+    """Grid search and out-of-fold scores of every model on the training rows.
+
+    Medians, means, deviations and categories are fitted anew on the training folds of every fold and once more for the
+    refitted model. With a ``store``, fits are looked up by the fingerprint of the rows and the parameters, and only
+    missing ones are made.
+    """
+    out = []
+    for spec in specs:
+        names = spec.features or data.features
+        path = None
+        if store:
+            grid = [sorted((p.name, v) for p, v in point.items()) for point in spec.grid]
+            settings = sorted((p.name, repr(v)) for p, v in spec.estimator.extractParamMap().items())
+            path = store.grid_path(f"{spec.name}-{fingerprint(data.train.select(data.key, data.label, 'fold', *names), grid, settings, folds)}")
+        out.append(M.grid_search_cv(
+            data.train, spec, data.key, data.features, folds, label=data.label, preprocess=Preprocessor(numericCols=list(names)), path=path,
+        ))
+    return out
 
 
-def leads(data: TrainTest, specs: Sequence[M.ModelSpec], results: Sequence[M.Evaluated]) -> DataFrame:
+def leads(data: TrainTest, results: Sequence[M.Evaluated]) -> DataFrame:
     """Scored hold-out rows of every model in one long frame, under their real keys."""
     out = None
-    for spec, done in zip(specs, results):
-        rows = M.assemble(data.test, spec.features or data.features)
-        part = M.score(done.model, rows, [data.key, data.label]).withColumn("model", F.lit(done.name))
+    for done in results:
+        part = done.scored(data.test, [data.key, data.label]).withColumn("model", F.lit(done.name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -109,12 +126,13 @@ def assess(scored: DataFrame, model: str, label: str = "label") -> dict[str, Dat
 def affinity_run(
     raw: Mapping[str, DataFrame], domains: Mapping[str, Sequence[str]], unit: str = "month",
     horizon: int = codes.HORIZON, folds: int = 10, specs=None, list_sizes: Sequence[int] = (10, 20),
-    min_age_days: int = codes.MIN_AGE_DAYS, draw=None, reference_order: bool = False,
+    min_age_days: int = codes.MIN_AGE_DAYS, draw=None, reference_order: bool = False, store: str | None = None,
 ) -> dict[str, object]:
     """Raw tables to leads: every report of the analysis as a DataFrame.
 
     ``specs(n, key, baseline)`` lists the models (default: all of them with full grids). ``reference_order`` is passed
-    to ``prepare_train_test``.
+    to ``prepare_train_test``. ``store`` names a folder on shared storage that keeps fitted models and their scores: a second
+    run on the same rows and settings fits nothing.
     """
     t = bank.prepare(raw, unit)
     holders = bank.without_junior(bank.card_status(t))
@@ -124,8 +142,8 @@ def affinity_run(
     rows, features = feature_rows(bank.modelling_set(bank.without_junior(master), windows, min_age_days), domains)
     data = prepare_train_test(rows, features, folds=folds, reference_order=reference_order, derive=R.window_features)
     models = (specs or M.model_list)(data.train.count(), data.key, baseline_features(data.train, horizon))
-    results = compare_models(data, models, folds)
-    scored = stage(leads(data, models, results), "leads")
+    results = compare_models(data, models, folds, ArtifactStore(data.train.sparkSession, store) if store else None)
+    scored = stage(leads(data, results), "leads")
     best = M.pick_best(results)
     return {
         "master": master, "windows": windows, "data": data, "results": results,
