@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from checks import bindings as B
 from checks.registry import ORACLE, plain, query, r6, rounded, s6
 from propensia.functions import codes
-from propensia.operators.preprocess import Preprocessor, prepared_folds
 from propensia.operators import aggregates as A, evaluation as E, features as R, neighbors as N, sampling as V
+from propensia.operators.lsh import lsh_knn_join, projections
+from propensia.operators.preprocess import Preprocessor, prepared_folds
 from propensia.plans import bank
 
 sql = B.sql
@@ -272,9 +275,9 @@ def _knn_sql(k, weights):
     select vec_id, round(p, 6) + 0.0 as probability, cast(case when p > 0.5 then 1 else 0 end as double) as prediction from votes"""
 
 
-def _knn(spark, sf, k, weights):
+def _knn(spark, sf, k, weights, join=None):
     rows = V.stratified_holdout(B.vectors(spark, sf), "vec_id", "label", hash_value=_hash(), modulus=MODULUS)
-    votes = N.knn_classify(rows.filter("is_test"), rows.filter("not is_test"), B.FEATURES, "vec_id", "label", k, weights)
+    votes = N.knn_classify(rows.filter("is_test"), rows.filter("not is_test"), B.FEATURES, "vec_id", "label", k, weights, join)
     return rounded(votes, "probability")
 
 
@@ -288,6 +291,30 @@ def v6d(spark, sf):
     return _knn(spark, sf, 3, "distance")
 
 
+_TABLES, _FUNCTIONS, _WIDTH = 4, 4, 0.4
+
+
+def _lsh_sql(k):
+    """Candidates share all floors of a table's projections; rows that meet fewer than k take all donors."""
+    coefficients = projections(len(B.FEATURES), _TABLES, _FUNCTIONS)
+    floors = lambda t: ", ".join(f"floor(list_inner_product(e, {f[:-1].tolist()}) / {_WIDTH} + {f[-1]})" for f in coefficients[t])
+    own = ", ".join(f"[{floors(t)}] as t{t}" for t in range(_TABLES))
+    meets = " or ".join(f"a.t{t} = b.t{t}" for t in range(_TABLES))
+    return f"""{sql("select 1 from vectors").rsplit(chr(10), 1)[0]}, lists as (select vec_id, label, [{', '.join(B.FEATURES)}] as e,
+      row_number() over (partition by label order by {_HASH}, vec_id) <= ceil(0.1 * count(*) over (partition by label)) as is_test from vectors),
+    keyed as materialized (select *, {own} from lists),
+    pairs as materialized (select a.vec_id, b.vec_id as other, b.label, list_distance(a.e, b.e) as d, ({meets}) as met from keyed a join keyed b on a.is_test and not b.is_test),
+    counted as (select vec_id, count(*) filter (met) >= {k} as enough from pairs group by 1),
+    near as (select vec_id, label from pairs join counted using (vec_id) where met or not enough qualify row_number() over (partition by vec_id order by d, other) <= {k}),
+    votes as (select vec_id, avg(label) as p from near group by 1)
+    select vec_id, round(p, 6) + 0.0 as probability, cast(case when p > 0.5 then 1 else 0 end as double) as prediction from votes"""
+
+
+@query("v6_knn_classify_hashed", _lsh_sql(5))
+def v6h(spark, sf):
+    return _knn(spark, sf, 5, "uniform", partial(lsh_knn_join, tables=_TABLES, functions=_FUNCTIONS, width=_WIDTH))
+
+
 # ---- E -----------------------------------------------------------------------------------
 
 

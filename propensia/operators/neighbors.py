@@ -13,7 +13,7 @@ by (dimensions / shared elements). Donors with gaps are kept in a cell every que
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -195,14 +195,15 @@ def knn_join(
 
 
 def knn_classify(
-    test: DataFrame, train: DataFrame, features: Sequence[str], key: str, label: str, k: int = 5, weights: str = "uniform"
+    test: DataFrame, train: DataFrame, features: Sequence[str], key: str, label: str, k: int = 5, weights: str = "uniform",
+    join: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
-    """(key, probability, prediction): vote of the k nearest training rows.
+    """(key, probability, prediction): vote of the k nearest training rows, by ``knn_join`` or another ``join`` like it.
 
     ``weights='distance'`` weighs by 1/distance; neighbours at distance 0 then decide alone.
     """
     queries, donors = _vectors(test, key, features), _vectors(train, key, features, label)
-    near = knn_join(queries, donors, k)
+    near = (join or knn_join)(queries, donors, k)
     votes = near.groupBy(F.col("id").alias(key)).agg(vote_share(weights).alias("probability"))
     return votes.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
 
@@ -225,11 +226,13 @@ def _vectors(df: DataFrame, key: str, features: Sequence[str], label: str | None
     return df.select(F.col(key).alias("id"), vec, *extra)
 
 
-def knn_impute(df: DataFrame, key: str, features: Sequence[str], k: int = 5, donors: DataFrame | None = None) -> DataFrame:
+def knn_impute(
+    df: DataFrame, key: str, features: Sequence[str], k: int = 5, donors: DataFrame | None = None, join: Callable[..., DataFrame] | None = None,
+) -> DataFrame:
     """Missing features become the mean of the k nearest donors that have them.
 
     Only rows with gaps travel as queries, once per missing element. Where no donor shares an
-    element with the row, the column mean is used. ``donors`` (default: the frame) is the fit set.
+    element with the row, the column mean is used. ``donors`` (default: the frame) is the fit set, ``join`` the neighbour join (default: ``knn_join``).
     """
     base = donors if donors is not None else df
     vectors = _vectors(df, key, features)
@@ -237,7 +240,7 @@ def knn_impute(df: DataFrame, key: str, features: Sequence[str], k: int = 5, don
         "target",
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.get("vec", i).isNull())),
     )
-    near = knn_join(queries, _vectors(base, key, features), k)
+    near = (join or knn_join)(queries, _vectors(base, key, features), k)
     guesses = near.groupBy("id", "target").agg(F.avg("value").alias("v"))
     wide = guesses.groupBy(F.col("id").alias(key)).agg(
         F.map_from_entries(F.collect_list(F.struct("target", "v"))).alias("_guess")  # at most one entry per feature

@@ -50,12 +50,14 @@ def smote(
     modulus: int = MODULUS,
     draw: Callable[[Column, int], Column] | None = None,
     step: Callable[[Column], Column] | None = None,
+    join: Callable[..., DataFrame] = knn_join,
 ) -> DataFrame:
     """Synthetic minority rows that balance the two classes (Chawla et al. 2002), appended.
 
     Each synthetic row i draws a (minority row, neighbour) pair uniformly and a point on the segment
     between them, all as functions of i. The key takes no part in distances. Added rows have the key
-    -(i + 1) and ``synthetic`` true. ``draw(i, n)`` and ``step(i)`` replace the default hash draws.
+    -(i + 1) and ``synthetic`` true. ``draw(i, n)`` and ``step(i)`` replace the default hash draws, ``join``
+    the exact neighbour join.
     """
     spark = df.sparkSession
     sizes = {r[label]: r["count"] for r in class_balance(df, label).collect()}
@@ -71,7 +73,7 @@ def smote(
         raise ValueError("a class of one row has no neighbours to balance it with")
     rows = _vectors(df.filter(F.col(label) == F.lit(minority)), key, features)
     ranked = hash_rank(rows, [], key_hash("id", seed=seed) if rank_hash is None else rank_hash, "id", "base", modulus)
-    near = knn_join(rows, rows, k, exclude_self=True).select(
+    near = join(rows, rows, k, exclude_self=True).select(
         F.col("id").alias("base_id"), F.col("rank").cast("long").alias("nth"), "neighbor_id"
     )
     i = F.col("i")
