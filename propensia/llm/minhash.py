@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from propensia.llm.graph import components
 from propensia.llm.tokens import BASE, Block, blocks, grams, mix, words
@@ -171,6 +171,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored. Memory per task: one text, or one pair of blocks (128 documents and about a million
     shingles each, more only where a single set is larger).
     """
+    found = _judged(docs, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n, digest, component and kept of every row; rows of an id are told apart by the digest of their set."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = stage(rows.mapInArrow(_sketch, "id long, n long, digest binary, sketch array<int>"), "sketch")
     sets = sketch.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest").agg(
@@ -202,14 +208,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reached = reached.where("component is not null or node < last").select("digest", F.coalesce("component", "node").alias("component"))
     found = sketch.select("id", "n", "digest").join(stage(reached, "reached"), "digest", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    found = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = found.select("id", "n", "digest", component.alias("component"))
+    return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+
+
+def _with_digest(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(column)):
+                digests = pa.array([_digest(s) for s in shingle_sets(block)], pa.binary())
+                rows = batch.slice(block.first, block.rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns, digests], [*rows.schema.names, "digest"])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, with all columns of ``docs``; see ``near_duplicates``.
 
-    Rows without an id stay.
+    Rows without an id stay. Rows are removed by their own verdict: where rows of one id have different texts, only
+    those go whose text is linked to a smaller id. Null and empty texts stay, repeated rows share their verdict, no rows
+    give no rows.
     """
-    gone = stage(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    verdicts = stage(_judged(docs, id_col, text_col).where("id is not null").select("id", "digest", "kept").distinct(), "verdicts")
+    ids = verdicts.groupBy("id").agg(F.count_if(~F.col("kept")).alias("gone"), F.count_if("kept").alias("stay")).where("gone > 0")
+    ids = stage(ids, "gone")
+    key = docs[id_col].cast("long")
+    gone, split = ids.where("stay = 0"), ids.where("stay > 0").select("id")
+    left = docs.join(gone, key == gone["id"], "left_anti")
+    if split.isEmpty():
+        return left.select(docs.columns)
+    judged = verdicts.where(~F.col("kept")).join(split, "id").select("id", "digest")
+    odd = left.join(split, key == split["id"], "left_semi")
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)], T.StructField("digest", T.BinaryType())])
+    at = docs.columns.index(id_col)
+    odd = odd.toDF(*schema.names[:-1]).mapInArrow(_with_digest(docs.columns.index(text_col)), schema)
+    odd = odd.join(judged, (odd[f"c{at}"].cast("long") == judged["id"]) & (odd["digest"] == judged["digest"]), "left_anti")
+    even = left.join(split, key == split["id"], "left_anti").select(docs.columns)
+    return even.union(odd.drop("digest")).select(docs.columns)

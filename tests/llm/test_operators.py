@@ -448,3 +448,14 @@ def test_no_rows(spark, make, tmp_path):
         weak_rules.assess(none), weak_rules.keep_good(none), winnowing.contamination(none, items), surrogates.replace_private(none, b"k"), minhash.near_duplicates(none),
     ):
         assert made.count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_are_dropped_by_their_own_verdict(make, rng):
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    pairs = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, None), (8, ""), (None, a), (None, None), (9, b), (6, a + " more")]
+    got = minhash.drop_near_duplicates(make(pairs))
+    assert got.columns == make([]).columns
+    assert multiset((r.doc_id, r.text) for r in got.collect()) == multiset([(1, a), (5, b), (7, c), (7, c), (8, None), (8, ""), (None, a), (None, None)])
+    plain = [(1, a), (2, a), (3, b)]
+    assert multiset((r.doc_id, r.text) for r in minhash.drop_near_duplicates(make(plain)).collect()) == multiset([(1, a), (3, b)])
+    assert minhash.drop_near_duplicates(make([])).count() == 0
