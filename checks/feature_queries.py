@@ -430,6 +430,18 @@ def e8(spark, sf):
     return E.lead_list(B.scores(spark, sf))
 
 
+@query("e8_lead_histogram_all_models", sql("""select model, bin, """ + s6("mn + bin * w", "low") + ", " + s6("mn + (bin + 1) * w", "high") + """, count(*) as count from
+    (select model, least(cast(floor((probability - mn) / w) as bigint), 19) as bin, mn, w from
+      (select model, probability, min(probability) over m as mn, (max(probability) over m - min(probability) over m) / cast(20 as double) as w from
+        (select * from scores qualify row_number() over (partition by model order by probability desc, doc_id) <= 100) window m as (partition by model))) group by model, bin, mn, w"""))
+def e8ha(spark, sf):
+    scored, out = B.scores(spark, sf), None
+    for model in ("m1", "m2", "m3"):
+        part = E.lead_histogram(scored.filter(F.col("model") == model), "doc_id").withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "low", "high")
+
+
 @query("e8_lead_histogram", sql("""select bin, """ + s6("mn + bin * w", "low") + ", " + s6("mn + (bin + 1) * w", "high") + """, count(*) as count from
     (select least(cast(floor((probability - mn) / w) as bigint), 19) as bin, mn, w from
       (select probability, min(probability) over () as mn, (max(probability) over () - min(probability) over ()) / cast(20 as double) as w from

@@ -83,7 +83,7 @@ def knn_model(spark, sf):
 
 @query("m8_lasso_select")
 def m8(spark, sf):
-    return M.lasso_select(_train(spark, sf), B.FEATURES, FOLDS, cs=(0.3, 1), max_iter=ITER)
+    return M.lasso_select(_train(spark, sf), B.FEATURES, FOLDS, "vec_id", cs=(0.3, 1), max_iter=ITER)
 
 
 def _split(spark, sf):
@@ -97,11 +97,37 @@ def _split(spark, sf):
 def m9(spark, sf):
     train, test = _split(spark, sf)
     folded = stage(V.stratified_folds(train, "vec_id", "label", FOLDS), "train")
-    kept = [r["feature"] for r in M.lasso_select(folded, B.FEATURES, FOLDS, cs=(0.3, 1), max_iter=ITER).collect()] or B.FEATURES
+    kept = [r["feature"] for r in M.lasso_select(folded, B.FEATURES, FOLDS, "vec_id", cs=(0.3, 1), max_iter=ITER).collect()]
+    if not kept:
+        raise ValueError("the selection keeps no feature")
     scored = M.score(M.reduced_model(train, kept, max_iter=ITER), M.assemble(test, kept), ["vec_id", "label"])
     return E.binary_metrics(scored)
 
 
+_ZERO = sql("select name as feature, 0.0::double as residual from (unpivot (select " + ", ".join(B.FEATURES) + " from vectors) on "
+            + ", ".join(B.FEATURES) + " into name name value v) group by 1 union all select '(intercept)', 0.0::double")
+
+
+def _residuals(spark, sf, c, elastic):
+    """Residuals of a fit to convergence on all rows, rounded to what the solver's tolerance leaves."""
+    rows = M.assemble(R.standard_scale(B.vectors(spark, sf), B.FEATURES), B.FEATURES)
+    rows = stage(rows.select("label", "features"), "training")
+    penalty = M.ridge_strength(c, rows.count())
+    lr = M.LogisticRegression(elasticNetParam=elastic, standardization=False, maxIter=1000, tol=1e-12, regParam=penalty)
+    l1, l2 = (penalty, 0.0) if elastic else (0.0, penalty)
+    return rounded(M.optimality_residuals(lr.fit(rows), rows, B.FEATURES, l1, l2), "residual", places=4)
+
+
+@query("m1_logistic_optimality", _ZERO)
+def m1o(spark, sf):
+    return _residuals(spark, sf, 1.0, 0.0)
+
+
+@query("m8_lasso_optimality", _ZERO)
+def m8o(spark, sf):
+    return _residuals(spark, sf, 0.3, 1.0)
+
+
 @query("m10_oof_predictions")
 def m10(spark, sf):
     lr = M.logistic_l2(500, (1,), ITER).estimator
@@ -135,6 +161,15 @@ def s3(spark, sf):
     return M.score(stored, M.assemble(rows, B.FEATURES), ["vec_id", "label"])
 
 
+@query("s3_predictions_by_model", sql("select model, doc_id, label, probability from scores"))
+def s3_predictions(spark, sf):
+    """Given scores of three models through the store, read back with the model's name."""
+    given, store = B.scores(spark, sf), ArtifactStore(spark, shared_path(spark, "artifacts"))
+    for name in ("m1", "m2", "m3"):
+        store.predictions(name, lambda: given.filter(F.col("model") == name))
+    return store.all_predictions().select("model", "doc_id", "label", "probability")
+
+
 # ---- X -----------------------------------------------------------------------------------
 
 

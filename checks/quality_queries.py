@@ -41,6 +41,11 @@ def q2t(spark, sf):
     return Q.missing_total(B.gappy_vectors(spark, sf))
 
 
+@query("q3_duplicate_rows_whole", "select (select count(*) from lineitem) - (select count(*) from (select distinct * from lineitem)) as duplicates")
+def q3_whole(spark, sf):
+    return Q.duplicate_rows(B.table(spark, sf, "lineitem"))
+
+
 _DUP = "l_orderkey, l_linenumber, l_returnflag, nullif(l_linestatus, 'O') as l_linestatus"
 
 

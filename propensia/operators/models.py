@@ -20,6 +20,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasRegParam, HasSeed
 from pyspark.ml.tuning import ParamGridBuilder
@@ -486,6 +487,25 @@ def _refitted(spec: ModelSpec, params: Mapping, whole: DataFrame, preprocess: Es
     return model if preprocess else model.stages[0]
 
 
+def oof_predictions(
+    df: DataFrame, estimator: Estimator, key: str, features: Sequence[str], folds: int, fold_col: str = "fold", label: str = "label",
+    preprocess: Estimator | None = None,
+) -> DataFrame:
+    """One score per row from a model that did not see the row's fold; ``preprocess`` as in ``grid_search_cv``."""
+    made = [key, label, fold_col, "features"]
+    rows = df if preprocess else stage(assemble(df, features).select(*made), "training", rebalance=True)
+    out = None
+    for fold in range(folds):
+        inside = F.col(fold_col) == fold
+        train, test = rows.filter(~inside), rows.filter(inside)
+        if preprocess:
+            fitted = preprocess.fit(train)
+            train, test = stage(fitted.transform(train).select(*made), "training", rebalance=True), fitted.transform(test)
+        part = score(estimator.fit(train), test, [key, label, fold_col])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def grid_frame(spark, results: Sequence[Evaluated]) -> DataFrame:
     """(model, params, accuracy, best) of every grid point."""
     rows = [
@@ -513,6 +533,8 @@ def pick_best(results: Sequence[Evaluated], weights: Mapping[str, float] = BEST_
 
 def lasso_select(df: DataFrame, features: Sequence[str], folds: int, key: str = "key", fold_col: str = "fold", label: str = "label", cs: Sequence[float] | None = None, max_iter: int = 100) -> DataFrame:
     """(feature, coefficient) of the features an L1 logistic fit keeps, strength chosen over folds."""
+    if key not in df.columns:  # only names the rows of written scores
+        df = df.withColumn(key, F.monotonically_increasing_id())
     n = df.count()
     strengths = np.logspace(-4, 0, 50) if cs is None else cs
     lr = LogisticRegression(elasticNetParam=1.0, standardization=False, maxIter=max_iter, labelCol=label)
@@ -529,6 +551,26 @@ def reduced_model(train: DataFrame, features: Sequence[str], label: str = "label
     return lr.fit(assemble(train, features))
 
 
+def optimality_residuals(model, rows: DataFrame, features: Sequence[str], l1: float = 0.0, l2: float = 0.0, label: str = "label") -> DataFrame:
+    """(feature, residual): how far a logistic fit is from the minimum of its convex loss, per coefficient; 0 at the minimum.
+
+    The loss is the mean log loss plus l1 |b| + l2 b² / 2 per coefficient, the intercept without penalty. The residual is the
+    gradient, with an l1 penalty the least absolute subgradient. Recomputed from the assembled ``rows`` in one
+    aggregate, independent of the solver.
+    """
+    weights, intercept = [float(w) for w in model.coefficients], float(model.intercept)
+    x = vector_to_array("features")
+    margin = F.aggregate(F.zip_with(x, F.lit(weights), lambda a, b: a * b), F.lit(intercept), lambda acc, v: acc + v)
+    error = 1 / (1 + F.exp(-margin)) - F.col(label)
+    parts = rows.select(error.alias("e"), x.alias("x")).select(array_to_vector(F.concat(F.array(F.col("e")), F.transform("x", lambda v: v * F.col("e")))).alias("g"))
+    gradient = [float(v) for v in parts.agg(Summarizer.mean(F.col("g")).alias("m")).first()["m"]]
+    out = [("(intercept)", abs(gradient[0]))]
+    for name, g, w in zip(features, gradient[1:], weights):
+        g += l2 * w
+        out.append((name, abs(g + math.copysign(l1, w)) if w else max(0.0, abs(g) - l1)))
+    return rows.sparkSession.createDataFrame(out, "feature string, residual double")
+
+
 def as_stored(model: Model) -> PipelineModel:
     """A fitted model in the form the artifact store saves."""
     return model if isinstance(model, PipelineModel) else PipelineModel([model])

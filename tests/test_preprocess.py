@@ -69,6 +69,26 @@ def test_a_fold_does_not_see_its_own_rows(spark, rows):
     assert scored.count() == 240 and done.prepares
 
 
+def test_one_point_out_of_fold(spark, rows):
+    """Scores of one estimator are those of a search with that point alone."""
+    prepare = Preprocessor(numericCols=NUMERIC)
+    lr = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=20)
+    one = {r.key: r.probability for r in M.oof_predictions(rows, lr, "key", NUMERIC, 3, preprocess=prepare).collect()}
+    search = M.grid_search_cv(rows, M.ModelSpec("plain", lr), "key", NUMERIC, 3, preprocess=prepare)
+    assert {r.key: r.probability for r in search.oof.collect()}.keys() == one.keys()
+    assert all(abs(r.probability - one[r.key]) < 1e-9 for r in search.oof.collect())
+
+
+def test_residuals_tell_a_minimum_from_other_fits(spark, rows):
+    made = Preprocessor(numericCols=["x", "y"]).fit(rows).transform(rows).cache()
+    for l1, l2 in ((0.0, 0.05), (0.03, 0.0)):
+        lr = LogisticRegression(elasticNetParam=float(l1 > 0), regParam=max(l1, l2), standardization=False, maxIter=500, tol=1e-12)
+        residuals = [r.residual for r in M.optimality_residuals(lr.fit(made), made, ["x", "y"], l1, l2).collect()]
+        assert len(residuals) == 3 and max(residuals) < 1e-4
+        stopped = [r.residual for r in M.optimality_residuals(lr.copy({lr.maxIter: 1}).fit(made), made, ["x", "y"], l1, l2).collect()]
+        assert max(stopped) > 10 * max(residuals)
+
+
 def test_a_search_goes_on_where_it_stopped(spark, rows, monkeypatch):
     path, prepare = shared_path(spark, "search"), Preprocessor(numericCols=NUMERIC)
     fits = []
