@@ -7,9 +7,10 @@ become shuffled joins, whose hot keys AQE splits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from propensia.functions.clean import add_suffix, fill_const
 from propensia.operators.quality import join_cardinality
@@ -34,6 +35,32 @@ def left_join_dim(fact: DataFrame, dim: DataFrame, dim_key: str, suffixes: Seque
     return fact
 
 
+class JoinWatch:
+    """Row counts before and after left joins, observed while the joined frame is written: no job of its own.
+
+    A left join keeps its left side's number of rows unless a joined key is repeated. Keys that no row of the left side has
+    are not looked at. The watched frame must be executed once before ``check``.
+    """
+
+    def __init__(self):
+        self._steps: list[tuple[str, Observation]] = []
+
+    def count(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with its rows counted under the name of the table that was joined last."""
+        seen = Observation(f"rows after {name}, {uuid.uuid4().hex}")
+        self._steps.append((name, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def check(self) -> dict[str, int]:
+        """Rows after each table; a ValueError names the first one with a repeated key."""
+        rows = {name: seen.get["n"] for name, seen in self._steps}
+        names = list(rows)
+        for before, name in zip(names, names[1:]):
+            if rows[name] != rows[before]:
+                raise ValueError(f"{name} has repeated keys: {rows[before]} rows became {rows[name]}")
+        return rows
+
+
 def spine_join(spine: DataFrame, rows: DataFrame, on: str, fills: Mapping[str, object]) -> DataFrame:
     """Every key of the spine, with its rows when there are any; listed nulls are then filled."""
     return fill_const(spine.join(rows, on, "left"), fills)

@@ -96,17 +96,23 @@ def prepare(raw: Mapping[str, DataFrame], unit: str = "month") -> dict[str, Data
 
 # ---- master record -----------------------------------------------------------------------
 
-def master_record(t: Mapping[str, DataFrame], validate: bool = False) -> DataFrame:
-    """One row per owner account: account, client, card, loan, orders and both districts."""
-    one, many = ("1:1", "m:1") if validate else (None, None)
-    star = J.left_join_1to1(t["disp"], t["account"], "account_id", validate=one)
-    star = J.left_join_1to1(star, t["client"], "client_id", ("_account", "_client"), validate=one)
-    star = J.left_join_1to1(star, t["card"], "disp_id", ("_disp", "_card"), validate=one)
-    star = J.left_join_1to1(star, t["loan"], "account_id", ("_account", "_loan"), validate=one)
-    star = J.left_join_1to1(star, t["order"], "account_id", validate=one)
-    if many:
+def master_record(t: Mapping[str, DataFrame], validate: bool = False, watch: J.JoinWatch | None = None) -> DataFrame:
+    """One row per owner account: account, client, card, loan, orders and both districts.
+
+    ``validate`` asserts unique keys on both sides by jobs of their own before joining; ``watch`` counts rows while the result
+    is written, for a check afterwards.
+    """
+    one = "1:1" if validate else None
+    seen = watch.count if watch else lambda df, name: df
+    star = seen(t["disp"], "disp")
+    star = seen(J.left_join_1to1(star, t["account"], "account_id", validate=one), "account")
+    star = seen(J.left_join_1to1(star, t["client"], "client_id", ("_account", "_client"), validate=one), "client")
+    star = seen(J.left_join_1to1(star, t["card"], "disp_id", ("_disp", "_card"), validate=one), "card")
+    star = seen(J.left_join_1to1(star, t["loan"], "account_id", ("_account", "_loan"), validate=one), "loan")
+    star = seen(J.left_join_1to1(star, t["order"], "account_id", validate=one), "order")
+    if validate:
         J.join_cardinality(t["district"], "district_id", strict=True)
-    star = J.left_join_dim(star, t["district"], "district_id", ("_account", "_client"))
+    star = seen(J.left_join_dim(star, t["district"], "district_id", ("_account", "_client")), "district")
     return C.fill_const(
         star.withColumns(
             {

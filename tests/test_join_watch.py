@@ -1,0 +1,40 @@
+"""Keys of the star join, checked by counts that the join's own job observes."""
+
+import pytest
+
+from checks import bindings as B
+from propensia.operators.joins import JoinWatch
+from propensia.plans import bank
+from propensia.session import stage
+
+SF = "/root/testdata/sf0.001"
+
+
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_unique_keys_pass_without_further_jobs(spark):
+    t = bank.prepare(B.raw_bank(spark, SF), "day")
+    watch = JoinWatch()
+    plain, before = jobs(spark, "plain", lambda: stage(bank.master_record(t), "master"))
+    watched, after = jobs(spark, "watched", lambda: stage(bank.master_record(t, watch=watch), "master"))
+    rows = watch.check()
+    assert after == before and list(rows) == ["disp", "account", "client", "card", "loan", "order", "district"]
+    assert set(rows.values()) == {watched.count()} and watched.columns == plain.columns
+    assert sorted(map(str, watched.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name", ["account", "client", "card", "loan", "district"])
+def test_a_repeated_key_is_named(spark, name):
+    t = bank.prepare(B.raw_bank(spark, SF), "day")
+    t[name] = t[name].union(t[name])
+    watch = JoinWatch()
+    stage(bank.master_record(t, watch=watch), "master")
+    with pytest.raises(ValueError, match=f"{name} has repeated keys"):
+        watch.check()

@@ -135,3 +135,21 @@ def test_stored_predictions_by_model(spark, rows):
     for name in ("m1", "m2"):
         store.predictions(name, lambda: rows.select("key", "label").withColumn("model", F.lit(name)))
     assert {r["model"]: r["count"] for r in store.all_predictions().groupBy("model").count().collect()} == {"m1": 240, "m2": 240}
+
+
+def test_a_second_comparison_fits_nothing(spark, rows, monkeypatch):
+    from propensia.plans.modelling import TrainTest, compare_models, leads
+
+    fits = []
+    original = LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: fits.append(1) or original(self, df))
+    store = ArtifactStore(spark, shared_path(spark, "store"))
+    data = TrainTest(rows, rows.limit(20), ["x", "y"], "key")
+    first = compare_models(data, [spec(240)], 3, store)
+    assert len(fits) == 7
+    again = compare_models(TrainTest(rows.repartition(3), data.test, ["x", "y"], "key"), [spec(240)], 3, store)
+    assert len(fits) == 7 and again[0].grid == first[0].grid
+    assert leads(data, again).count() == 20
+    changed = rows.withColumn("x", F.when(F.col("key") == 5, 2.5).otherwise(F.col("x")))
+    compare_models(TrainTest(changed, data.test, ["x", "y"], "key"), [spec(240)], 3, store)
+    assert len(fits) == 14
