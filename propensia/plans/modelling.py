@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from propensia.functions import codes
 from propensia.functions.clean import columns_by_type, drop_columns, select_by_pattern
 from propensia.operators import evaluation as E, features as R, models as M, sampling as V
-from propensia.operators.joins import JoinWatch
 from propensia.operators.neighbors import knn_impute
 from propensia.operators.preprocess import Preprocessor
+from propensia.operators.quality import join_cardinality
 from propensia.plans import bank
 from propensia.session import stage
 from propensia.sources.artifacts import ArtifactStore, fingerprint
@@ -133,15 +133,14 @@ def affinity_run(
 
     ``specs(n, key, baseline)`` lists the models (default: all of them with full grids). ``reference_order`` is passed
     to ``prepare_train_test``. ``store`` names a folder on shared storage that keeps fitted models and their scores: a second
-    run on the same rows and settings fits nothing. A repeated key in a table of the star is a ValueError.
+    run on the same rows and settings fits nothing. A repeated key in a table of the star raises a DataQualityError.
     """
     t = bank.prepare(raw, unit)
     holders = bank.without_junior(bank.card_status(t))
     dates = stage(bank.event_dates(holders, draw), "dates")
     windows = stage(bank.affinity_windows(bank.monthly_ledger(t["trans"], unit), dates, unit, horizon), "windows")
-    watch = JoinWatch()
-    master = stage(bank.master_record(t, watch=watch), "master")
-    watch.check()
+    master = stage(bank.master_record(t), "master")
+    join_cardinality(master, "account_id", strict=True)  # a repeated key of any joined table repeats accounts
     rows, features = feature_rows(bank.modelling_set(bank.without_junior(master), windows, min_age_days), domains)
     data = prepare_train_test(rows, features, folds=folds, reference_order=reference_order, derive=R.window_features)
     models = (specs or M.model_list)(data.train.count(), data.key, baseline_features(data.train, horizon))
