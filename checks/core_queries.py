@@ -9,7 +9,7 @@ from checks.registry import plain, query, rounded, s6
 from propensia.functions import clean as C, codes
 from propensia.operators import aggregates as A, features as R, joins as J, ledger as L, quality as Q, ranking as K
 from propensia.plans import bank
-from propensia.session import shared_path
+from propensia.session import shared_path, stage_by_key
 from propensia.sources.schemas import ORDER
 from propensia.sources.tables import Catalog, csv_scan
 
@@ -138,6 +138,13 @@ def g2(spark, sf):
     return plain(L.event_rollup(B.ledger(spark, sf), B.buyer_dates(spark, sf), unit="day"))
 
 
+@query("g2_event_rollup_stored", sql("select * from buyer_rolled"))
+def g2s(spark, sf):
+    """The same windows from a period ledger stored by account."""
+    stored = stage_by_key(L.period_ledger(B.entries(spark, sf), unit="day"), "account_id", "period")
+    return plain(L.event_rollup(L.running_balance(stored), B.buyer_dates(spark, sf), unit="day"))
+
+
 @query("g2_event_rollup_month", sql(f"select account_id, {B.sql_wide()} from supplier_near group by 1 having count(*) = 13"))
 def g2m(spark, sf):
     ledger = L.running_balance(L.period_ledger(B.supplier_entries(spark, sf)))

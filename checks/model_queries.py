@@ -208,6 +208,33 @@ def x2l(spark, sf):
     return rounded(_linear(spark, sf), "shap", places=9)
 
 
+_POOL, _POOL_ORDER = 3, "(vec_id * 7919 + 43) % 1000003"
+_F = ", ".join(B.FEATURES)
+_WALKED = f"""
+select vec_id, feature, (v - m) * b as shap, s * abs(b) / sqrt({_POOL}) as error
+from (unpivot (select vec_id, {_F} from vectors) on {_F} into name feature value v)
+join (
+  select feature, avg(v) as m, stddev_samp(v) as s, (cast(substr(feature, 2) as int) + 1) / 64.0 - 0.5 as b
+  from (unpivot (select {_F} from vectors order by {_POOL_ORDER}, vec_id limit {_POOL}) on {_F} into name feature value v)
+  group by feature
+) using (feature)
+"""
+
+
+def _linear_score(df):
+    weights = F.lit([_COEF[c] for c in B.FEATURES])
+    return df.withColumn("p", F.aggregate(F.zip_with("vec", weights, lambda v, b: v * b), F.lit(0.0), lambda a, v: a + v))
+
+
+@query("x2_shap_walks", sql("select vec_id, feature, " + s6("shap", places=6) + ", " + s6("error", places=6) + f" from ({_WALKED})"))
+def x2w(spark, sf):
+    """Walks under a linear score: a pair from each background row makes the sampled values exact."""
+    rows = B.vectors(spark, sf)
+    pool = X.background_sample(rows, "vec_id", _POOL, order=F.expr(_POOL_ORDER))
+    got = X.shap_values(_linear_score, rows, pool, "vec_id", B.FEATURES, permutations=2 * _POOL)
+    return rounded(got.drop("base"), "shap", "error", places=6)
+
+
 @query("x3_shap_summary", sql("select feature, " + s6("avg(abs(shap))", "mean_abs_shap", 9) + f" from ({_LINEAR}) group by 1"))
 def x3(spark, sf):
     return rounded(X.shap_summary(_linear(spark, sf)), "mean_abs_shap", places=9)

@@ -84,38 +84,43 @@ def lime_explain(
 def shap_values(
     score: Scorer, rows: DataFrame, background: DataFrame, key: str, features: Sequence[str], permutations: int = 10, seed: int = 42,
 ) -> DataFrame:
-    """(key, feature, shap, base): sampled Shapley values (Strumbelj and Kononenko 2014).
+    """(key, feature, shap, error, base): sampled Shapley values (Strumbelj and Kononenko 2014).
 
     Each (row, permutation) walks from a background row to the row, one feature at a time in a hashed
-    order; a feature's value is the mean change at its step. Per row the values sum to the row's score
-    minus ``base``, the mean score of its background draws. ``background`` is a small sample.
+    order; a feature's value is the mean change at its step. Walks come in pairs from one background row, the second
+    in reverse order (antithetic sampling), and a row's pairs take the background rows in turn from a hashed start. Per row
+    the values sum to the row's score minus ``base``, the mean score of its background draws. ``error`` is the standard error over
+    pairs, null for a single pair; an odd last walk is a pair of its own. ``background`` is a small sample.
     """
     n = len(features)
     pool = _row(background, key, features).agg(F.array_sort(F.collect_list("x"))).scalar()
     walks = (
         _row(rows, key, features)
         .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .repartition("key", "walk")  # spreads the scoring, and the window below needs no other exchange
+        .withColumn("pair", F.shiftright("walk", 1))
+        .repartition("key", "pair")  # spreads the scoring; window and sums per pair need no other exchange
         .withColumn("_pool", pool)
-        .withColumn("b", F.get("_pool", F.pmod(key_hash("key", "walk", seed=seed), F.size("_pool")).cast("int")))
+        .withColumn("b", F.get("_pool", F.pmod(key_hash("key", seed=seed) + F.col("pair"), F.size("_pool")).cast("int")))
         .withColumn("order", F.transform(
             F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
-                key_hash(F.col("key"), F.col("walk"), j, seed=seed + 1).alias("h"), j.alias("j")))),
+                key_hash(F.col("key"), F.col("pair"), j, seed=seed + 1).alias("h"), j.alias("j")))),
             lambda s: s["j"]))
+        .withColumn("order", F.when(F.col("walk") % 2 == 1, F.reverse("order")).otherwise(F.col("order")))
         .withColumn("place", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.array_position("order", j)))
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
         .withColumn("vec", F.transform("x", lambda v, j: F.when(F.get("place", j) <= F.col("step"), v).otherwise(F.get("b", j))))
-        .select("key", "walk", "step", F.get("order", F.col("step") - 1).alias("j"), "vec")
+        .select("key", "pair", "walk", "step", F.get("order", F.col("step") - 1).alias("j"), "vec")
     )
-    along = W.partitionBy("key", "walk").orderBy("step")  # features + 1 rows each
+    along = W.partitionBy("key", "pair", "walk").orderBy("step")  # features + 1 rows each
     steps = score(walks).withColumn("change", F.col("p") - F.lag("p").over(along)).withColumn(
         "start", F.first("p").over(along)
     )
     names = F.lit(list(features))
+    pairs = steps.filter(F.col("step") > 0).groupBy("key", "pair", "j").agg(F.avg("change").alias("change"), F.avg("start").alias("start"))
+    error = F.stddev_samp("change") / F.sqrt(F.count(F.lit(1)))
     return (
-        steps.filter(F.col("step") > 0)
-        .groupBy("key", "j").agg(F.avg("change").alias("shap"), F.avg("start").alias("base"))
-        .select(F.col("key").alias(key), F.get(names, F.col("j")).alias("feature"), "shap", "base")
+        pairs.groupBy("key", "j").agg(F.avg("change").alias("shap"), error.alias("error"), F.avg("start").alias("base"))
+        .select(F.col("key").alias(key), F.get(names, F.col("j")).alias("feature"), "shap", "error", "base")
     )
 
 

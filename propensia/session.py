@@ -62,6 +62,19 @@ def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by_key(df: DataFrame, key: str, *order: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder as a table bucketed by ``key``, one file a bucket, and read it back.
+
+    Joins, windows and aggregates by ``key`` over tables of as many buckets then need no exchange. The rows cross the
+    network once, here; store what is aggregated per key, so that no bucket grows with a hot key's raw rows. ``buckets``
+    defaults to the number of shuffle partitions.
+    """
+    spark, n, table = df.sparkSession, buckets or parallel_buckets(df.sparkSession), f"propensia_{uuid.uuid4().hex}"
+    written = df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order)
+    written.option("path", shared_path(spark, "keyed")).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def parallel_buckets(spark: SparkSession) -> int:
     """How many hash or quantile buckets a global ordering is split into: as many as a shuffle has partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

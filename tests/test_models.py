@@ -86,6 +86,21 @@ def test_shapley_values_add_up_and_agree_with_the_closed_form(spark, rows):
     for key in score:
         parts = [r for r in got if r["key"] == key]
         assert abs(sum(r["shap"] for r in parts) + parts[0]["base"] - score[key]) < 1e-9
+    pool = Q.sample_n(rows, 5, "key", 7)
+    base = {c: m for c, (m, _) in R.fit_standard_scale(pool, COLS).items()}
+    for r in X.shap_values(linear, some, pool, "key", COLS, permutations=10).join(some, "key").collect():
+        assert abs(r["shap"] - coef[r["feature"]] * (r[r["feature"]] - base[r["feature"]])) < 1e-9 and r["error"] > 0
+    assert all(r["error"] is None for r in X.shap_values(linear, some, pool, "key", COLS, permutations=2).collect())
+
+    def product(df):
+        return df.withColumn("p", F.get("vec", F.lit(0)) * F.get("vec", F.lit(1)))
+
+    one = X.shap_values(product, some, Q.sample_n(rows, 1, "key", 7), "key", COLS, permutations=2).join(some, "key")
+    start = Q.sample_n(rows, 1, "key", 7).first()
+    for r in one.collect():  # a pair of opposite orders gives two features their exact values
+        a, b = (start["a"] + r["a"]) / 2, (start["b"] + r["b"]) / 2
+        exact = {"a": (r["a"] - start["a"]) * b, "b": (r["b"] - start["b"]) * a, "c": 0.0}
+        assert abs(r["shap"] - exact[r["feature"]]) < 1e-9
     top = X.shap_summary(X.linear_shap(rows, "key", coef, means)).first()["feature"]
     assert top == "b"
 

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from checks import bindings as B
 from propensia.operators import explain as X, features as R, ledger as L, models as M, sampling as V
 from propensia.plans import bank, modelling
+from propensia.session import stage_by_key
 
 SF = "/root/testdata/sf0.001"
 NO_PYTHON = [n for n in entry.queries() if re.match(r"(a|g|j|f|p|q)\d|r[1-8]_", n)]
@@ -62,6 +63,21 @@ def test_folds_and_scaling_move_no_rows(spark):
     assert "Exchange" not in plan(R.standard_scale(rows, B.FEATURES[:3]))
 
 
+def test_a_stored_ledger_is_rolled_up_without_an_exchange(spark):
+    monthly = L.period_ledger(B.supplier_entries(spark, SF))
+    dates = B.supplier_dates(spark, SF)
+    ledger, events = stage_by_key(monthly, "account_id", "period", buckets=4), stage_by_key(dates, "account_id", buckets=4)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rolled in (L.event_rollup, L.event_rollup_long):
+            got = rolled(L.running_balance(ledger), events)
+            assert "Exchange" not in plan(got)
+            assert sorted(map(str, got.collect())) == sorted(map(str, rolled(L.running_balance(monthly), dates).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_walks_are_scored_and_differenced_on_one_exchange(spark):
     rows = B.vectors(spark, SF)
     mean = lambda df: df.withColumn("p", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v))
