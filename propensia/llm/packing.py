@@ -8,7 +8,8 @@ size, largest first:
 2. Pieces a range could not place and gaps it did not use are ranked; a prefix scan over the ranges' two counts gives
    each unused gap pieces of a later (smaller) range, as many as surely fit, so no two gaps claim a piece.
 3. Gaps are updated and the next round begins. If a round places next to nothing, the largest pieces left
-   open as many sequences as all of them need at least.
+   open as many sequences as all of them need at least. Pieces left that fit one range are packed by one more sweep, in which
+   a piece without a gap opens a sequence.
 
 The driver sees a few numbers per range and one per length, never rows. The state of each round is a written table.
 """
@@ -32,8 +33,9 @@ from propensia.session import stage
 CAPACITY, END = 4096, 1
 RANGE_ROWS = 50_000
 LEVELS = (2, 4, 16)  # shares of a sequence at which a level begins
-LITTLE = 0.05
+LITTLE, FEW = 0.05, 100
 GAP, PIECE, PLACED, FALLEN = 0, 1, 2, 3
+SWEPT = "part int, rank long, kind int, size long, key long, bin long, offset long"
 
 
 def _pieces(path: str, capacity: int):
@@ -59,8 +61,11 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int) -> list[tuple]:
-    """One range, sorted by falling size with gaps before pieces: (kind, size, key, bin, offset) of everything."""
+def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int, opens: bool = False) -> list[tuple]:
+    """One range, sorted by falling size with gaps before pieces: (kind, size, key, bin, offset) of everything.
+
+    With ``opens`` a piece that finds no gap begins a sequence, named by its key.
+    """
     out, stack, later = [], [], []
     low = sizes[-1] if sizes else 0
     for size, kind, key in zip(sizes, kinds, keys):
@@ -69,8 +74,8 @@ def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int) ->
             stack.append((-g, b))
         if kind == GAP:
             stack.append((size, key))
-        elif stack:
-            g, b = stack.pop()
+        elif stack or opens:
+            g, b = stack.pop() if stack else (capacity, key)
             out.append((PLACED, size, key, b, capacity - g))
             if g - size >= low:
                 heapq.heappush(later, (size - g, b))
@@ -83,7 +88,7 @@ def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int) ->
     return out
 
 
-def _swept(capacity: int):
+def _swept(capacity: int, opens: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = TaskContext.get().partitionId(), [[], [], []]
         for batch in batches:
@@ -91,7 +96,7 @@ def _swept(capacity: int):
                 rows[i].extend(batch.column(name).to_pylist())
         ranks = {GAP: 0, PIECE: 0}
         out = []
-        for kind, size, key, b, offset in sweep(*rows, capacity):
+        for kind, size, key, b, offset in sweep(*rows, capacity, opens):
             rank = ranks.get(kind, 0)
             if kind in ranks:
                 ranks[kind] += 1
@@ -154,24 +159,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         mine = (F.col("size") > capacity // floor if floor < capacity else F.col("size") > 0) & (F.col("size") <= capacity // top)
         left = sum(n for size, n in lengths.items() if (size > capacity // floor or floor == capacity) and size <= capacity // top)
         state = state.union(everything.where(mine))
-        few = int(left * LITTLE) if floor < capacity else 0
         while left:
-            state, gaps, left = _round(state, gaps, left, capacity, done, few)
+            state, gaps, left = _round(state, gaps, left, capacity, done)
     result = done[0]
     for part in done[1:]:
         result = result.union(part)
     return result.select("key", F.col("bin").alias("sequence_id"), "offset")
 
 
-def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[DataFrame], few: int) -> tuple[DataFrame, int, int]:
+def _order() -> list:
+    return [F.col("size").desc(), F.col("kind"), F.col("key")]
+
+
+def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[DataFrame]) -> tuple[DataFrame, int, int]:
     """One sweep over all ranges, the routing of what ranges left over, and new sequences if little was placed.
 
-    The last ``few`` pieces of a level open one each: later levels fill these. Returns the new state with its numbers of gaps and of unplaced pieces.
+    Returns the new state with its numbers of gaps and of unplaced pieces.
     """
-    spark = state.sparkSession
-    order = [F.col("size").desc(), F.col("kind"), F.col("key")]
+    spark, order = state.sparkSession, _order()
     swept = state.repartitionByRange(-(-(n + n_gaps) // RANGE_ROWS), *order).sortWithinPartitions(*order)
-    swept = stage(swept.mapInArrow(_swept(capacity), "part int, rank long, kind int, size long, key long, bin long, offset long"), "swept")
+    swept = stage(swept.mapInArrow(_swept(capacity), SWEPT), "swept")
     rest: dict[int, Rest] = {}
     fallen = 0
     totals = swept.where(F.col("kind") != PLACED).groupBy("part", "kind").agg(F.count("*"), F.min("size"), F.max("size"))
@@ -188,9 +195,9 @@ def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[Data
     columns = [F.col("size"), F.col("kind"), F.col("key")]
     after = swept.where(F.col("kind") == FALLEN).select("size", F.lit(GAP).alias("kind"), "key")
     if ways:  # about two rows a range
-        way = F.broadcast(spark.createDataFrame(ways, "source int, gap_first long, part int, first long, last long, share long"))
+        way = spark.createDataFrame(ways, "source int, gap_first long, part int, first long, last long, share long")
         used = [(source, gap, gap - (-(last - first) // share)) for source, gap, _, first, last, share in ways]
-        used = F.broadcast(spark.createDataFrame(used, "part int, first long, last long"))
+        used = spark.createDataFrame(used, "part int, first long, last long")
         within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
         sent = wanting.drop("bin", "offset").join(way, "part").where(within)
         sent = sent.withColumn("gap_rank", F.col("gap_first") + F.floor((F.col("rank") - F.col("first")) / F.col("share")))
@@ -207,29 +214,50 @@ def _round(state: DataFrame, n_gaps: int, n: int, capacity: int, done: list[Data
         after = after.union(free.select(*columns)).union(wanting.select(*columns))
     done.append(placed)
     gaps = fallen + sum(r.gaps for r in rest.values())
-    if left and (left <= few or n - left <= LITTLE * n):
-        after, opened = _open(stage(after, "state"), capacity, done, left if left <= few else 0)
+    if left and n - left <= LITTLE * n:
+        after = stage(after, "state")
+        if left <= RANGE_ROWS:
+            after, opened = _finish(after, capacity, done)
+            return after, gaps + opened, 0
+        after, opened = _open(after, capacity, done)
         return after, gaps + opened, left - opened
     return after, gaps, left
 
 
-def _open(state: DataFrame, capacity: int, done: list[DataFrame], want: int = 0) -> tuple[DataFrame, int]:
-    """The largest pieces open as many sequences as the pieces left need at least (or ``want``); of one length a share by key.
+def _finish(state: DataFrame, capacity: int, done: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Pieces of one range are packed by best fit into sequences that they open.
 
-    Returns the new state and how many were opened.
+    Returns the state of gaps alone and how many of them are new.
+    """
+    rest = state.where(F.col("kind") == PIECE).repartition(1).sortWithinPartitions(*_order())
+    rest = stage(rest.mapInArrow(_swept(capacity, True), SWEPT), "finished")
+    done.append(rest.where(F.col("kind") == PLACED).select("key", "bin", "offset"))
+    new = rest.where(F.col("kind") != PLACED).select("size", F.lit(GAP).alias("kind"), "key")
+    return state.where(F.col("kind") == GAP).union(new), new.count()
+
+
+def _open(state: DataFrame, capacity: int, done: list[DataFrame]) -> tuple[DataFrame, int]:
+    """The largest pieces open as many sequences as the pieces left need at least; of one length a share.
+
+    A large share is drawn by key hash, three standard deviations below the number wanted, so that it does not exceed it;
+    a small one is taken by key. Returns the new state and how many were opened.
     """
     lengths = {r["size"]: r["count"] for r in state.where(F.col("kind") == PIECE).groupBy("size").count().collect()}
-    want = want or -(-sum(s * n for s, n in lengths.items()) // capacity)
-    share, edge = 1.0, min(lengths)
+    want, edge = -(-sum(s * n for s, n in lengths.items()) // capacity), min(lengths)
     for size in sorted(lengths, reverse=True):
+        edge = size
         if want <= lengths[size]:
-            share, edge = want / lengths[size], size
             break
         want -= lengths[size]
-    steps = 1 << 20
-    few = lengths[edge] * share < 50
-    drawn = F.lit(True) if few or share >= 1 else F.pmod(F.xxhash64("key"), F.lit(steps)) < max(1, round(share * steps))
-    opens = (F.col("kind") == PIECE) & ((F.col("size") > edge) | ((F.col("size") == edge) & drawn))
+    piece, at_edge = F.col("kind") == PIECE, F.col("size") == edge
+    if want >= lengths[edge]:
+        drawn = F.lit(True)
+    elif want < FEW:
+        drawn = F.col("key").isin([r["key"] for r in state.where(piece & at_edge).select("key").orderBy("key").limit(want).collect()])
+    else:
+        steps = 1 << 40
+        drawn = F.pmod(F.xxhash64("key"), F.lit(steps)) < int((want - 3 * want**0.5) / lengths[edge] * steps)
+    opens = piece & ((F.col("size") > edge) | (at_edge & drawn))
     new = state.where(opens)
     done.append(new.select("key", F.col("key").alias("bin"), F.lit(0).cast("long").alias("offset")))
     new = new.select((capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"), "key")
