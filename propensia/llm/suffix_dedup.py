@@ -12,7 +12,7 @@ bucket of the smallest such hash of the string that starts there, and consecutiv
    bucket that still has more than ``BUCKET_STRINGS`` is not gathered: each of its strings is a row of two hashes, and
    equal rows are counted before and after the shuffle.
 
-Texts are named by a 64-bit hash; equal texts are looked at once, and wholly removed if long enough.
+Texts are named by 128 bits of their SHA-256; equal texts are looked at once, and wholly removed if long enough.
 """
 
 from __future__ import annotations
@@ -76,13 +76,13 @@ def _pieces(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.column("tid").to_numpy()
+        names = batch.column("tid")
         for block in blocks(batch.column("text")):
             for data, bounds, at in _pieces(block):
                 row, first, last, key, whole, again = runs(data, bounds)
                 start = first - bounds[row] + at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[block.first + row]), pa.array(start), pa.array(start + last - first), pa.array(key), pa.array(whole), pa.array(again)],
+                    [names.take(pa.array(block.first + row)), pa.array(start), pa.array(start + last - first), pa.array(key), pa.array(whole), pa.array(again)],
                     ["tid", "first", "last", "key", "whole", "again"],
                 )
 
@@ -199,7 +199,7 @@ def stretches(places: np.ndarray) -> list[tuple[int, int]]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, tid, first, bytes) sorted by key; a few whole buckets are held at a time."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, bytes, int, bytes]] = []
     size = 0
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
@@ -210,12 +210,12 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         keys = np.array([r[0] for r in rows], np.int64)
         hit = repeated(data, base[owner] + offset, keys[owner])
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[bytes, int, int]] = []
         owner, offset = owner[hit], offset[hit]
         for i in np.unique(owner).tolist():
             out += [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for a, b in stretches(offset[owner == i] if len(rows) < 64 else offset[slice(*np.searchsorted(owner, [i, i + 1]))])]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["tid", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["tid", "start", "end"])
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("key", "tid", "first", "bytes")]
@@ -235,7 +235,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted runs; those of hot buckets cut into finer runs with keys of their own."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64()] * 3 + [pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "tid", "first", "bytes"])
 
     for batch in batches:
@@ -268,15 +268,15 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in (data, data ^ np.uint8(0x5A)):
                 sums = prefix_hashes(d)
                 twice.append(mix((sums[LENGTH:] - sums[:-LENGTH]) * powers(len(d))[1][:n]).view(np.int64))
-            columns = [np.full(n, tid), first + np.arange(n), *twice]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tid", "first", "h1", "h2"])
+            columns = [pa.array([tid] * n, pa.binary()), *[pa.array(c) for c in (first + np.arange(n), *twice)]]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "first", "h1", "h2"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans")):
-            raw, kept, at, removed, n = text.as_py(), hashlib.sha256(), 0, 0, 0
+            raw, parts, at = text.as_py(), [], 0
             merged: list[list[int]] = []
             for s in sorted((x["start"], x["end"]) for x in spans.as_py()):
                 if merged and s[0] <= merged[-1][1]:
@@ -284,30 +284,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     merged.append(list(s))
             for start, end in merged:
-                kept.update(raw[at:start])
-                removed, n, at = removed + end - start, n + 1, end
-            kept.update(raw[at:])
-            out.append((removed, n, kept.hexdigest(), [{"start": a, "end": b} for a, b in merged]))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        columns = list(zip(*out)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), *[pa.array(c, t) for c, t in zip(columns, types)]], ["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
+                parts.append(raw[at:start])
+                at = end
+            kept = b"".join([*parts, raw[at:]])
+            spans = [{"start": a, "end": b} for a, b in merged]
+            out.append((len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), spans))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        columns = list(zip(*out)) if out else [()] * 5
+        names = ["tid", "n_removed", "n_spans", "kept_sha256", "left", "spans"]
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of each text without bytes covered by a repeated string of ``LENGTH`` bytes.
 
-    Returns the id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and spans
-    (start and end in bytes). A string counts as repeated if it also starts anywhere else, in any text or the same one.
+    Returns the id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), the remaining
+    text (a character that a cut splits is left out) and spans (start and end in bytes). A string counts as repeated if it also starts anywhere else, in any text or the same one.
 
     A null text is empty; texts under ``LENGTH`` bytes stay whole. Equal texts of that length or more, repeated rows
     included, go wholly. Rows without an id are handled like others. No rows give no rows. Other columns are
     ignored. Memory per task: one text (16 MB of it while hashing) or the runs of one bucket.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64("text"))
-    seen = stage(rows.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "seen")
-    copies = stage(seen.where(F.col("n_bytes") >= LENGTH).groupBy("tid").agg(F.min("id").alias("rep"), (F.count("*") > 1).alias("copied")), "copies")
-    found = stage(rows.select("tid", "text").mapInArrow(_runs, "tid long, first long, last long, key long, whole long, again boolean"), "runs")
+    rows = rows.withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    copies = stage(rows.where(F.octet_length("text") >= LENGTH).groupBy("tid").agg(F.min("id").alias("rep"), (F.count("*") > 1).alias("copied")), "copies")
+    found = stage(rows.select("tid", "text").mapInArrow(_runs, "tid binary, first long, last long, key long, whole long, again boolean"), "runs")
 
     place = F.xxhash64("tid", "first")
     equal = found.groupBy("key", "whole").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("last") - F.col("first") + 1).alias("n"), F.max("again").alias("again"))
@@ -328,29 +329,31 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = stage(held, "held")
     open_runs = F.filter("runs", lambda r: r["sent"])
     contexts = held.where(F.size(open_runs) > 0).select("tid", "text", open_runs.alias("runs"))
-    contexts = stage(contexts.mapInArrow(_contexts, "key long, tid long, first long, bytes binary"), "contexts")
+    contexts = stage(contexts.mapInArrow(_contexts, "key long, tid binary, first long, bytes binary"), "contexts")
 
-    span = "tid long, start long, end long"
+    span = "tid binary, start long, end long"
     large = contexts.groupBy("key").agg(F.sum(F.octet_length("bytes") - LENGTH + 1).alias("n")).where(F.col("n") > BUCKET_STRINGS).select("key")
     large = stage(large, "large")
     plain = contexts.join(large, "key", "left_anti")
     judged = plain.repartition("key").sortWithinPartitions("key", "tid", "first").mapInArrow(_judged, span)
-    strings = contexts.join(large, "key").select("tid", "first", "bytes").mapInArrow(_strings, "tid long, first long, h1 long, h2 long")
+    strings = contexts.join(large, "key").select("tid", "first", "bytes").mapInArrow(_strings, "tid binary, first long, h1 long, h2 long")
     twice = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h1", "h2")
     hot = strings.join(stage(twice, "twice"), ["h1", "h2"]).select("tid", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("end"))
     done = marked.where("done").select("tid", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     spans = judged.union(hot).union(done).groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = held.where(~F.col("copied")).select("tid", "text").join(spans, "tid")
-    cut = cut.mapInArrow(_cut, "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    cut = cut.mapInArrow(_cut, "tid binary, n_removed long, n_spans long, kept_sha256 string, left string, spans array<struct<start:long,end:long>>")
     cut = stage(cut, "cut")
 
     gone = copies.where("copied").select(F.col("tid").alias("copy_tid"))
-    out = seen.join(stage(gone, "gone"), F.col("tid") == F.col("copy_tid"), "left").join(cut, "tid", "left")
+    out = rows.join(stage(gone, "gone"), F.col("tid") == F.col("copy_tid"), "left").join(cut, "tid", "left")
     copied, zero = F.col("copy_tid").isNotNull(), F.lit(0).cast("long")
-    whole = F.array(F.struct(zero.alias("start"), F.col("n_bytes").alias("end")))
+    n_bytes = F.octet_length("text").cast("long")
+    whole = F.array(F.struct(zero.alias("start"), n_bytes.alias("end")))
     return out.select(
-        F.col("id").alias(id_col), "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.col("id").alias(id_col), n_bytes.alias("n_bytes"), F.when(copied, n_bytes).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(copied, 1).otherwise(F.coalesce("n_spans", zero)).cast("long").alias("n_spans"),
-        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.sha2("text", 256))).alias("kept_sha256"),
+        F.when(copied, "").otherwise(F.coalesce("left", "text")).alias(text_col),
         F.when(copied, whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>"))).alias("spans"),
     )
