@@ -1,6 +1,7 @@
 """The operators next to plain versions of themselves, on small documents with all the odd cases."""
 
 import collections
+import itertools
 import gzip
 import hashlib
 import io
@@ -86,6 +87,19 @@ def test_damaged_archives_are_refused():
 # --- language model
 
 
+def test_counts_beyond_32_bits_travel_whole():
+    for counts in ([3_000_000_000, 0, 5], [2**33 + 1, 2**52], [0], [0, 255, 256], []):
+        x = np.array(counts, np.uint64)
+        assert interpolation._unplanes(interpolation._planes(x), len(x)).tolist() == counts
+    ask = [(interpolation.WORD, 0, block, block == 2, 1, interpolation._planes(np.array([9], np.uint64)), interpolation._planes(np.array([3_000_000_000], np.uint64))) for block in range(3)]
+    names = ["kind", "slice", "block", "tune", "n", "keys", "times"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*ask)], names)
+    rows = [r for out in interpolation._answers(iter([batch])) for r in out.to_pylist()]
+    assert [interpolation._unplanes(r["total"], 1).tolist() for r in rows[:3]] == [[9_000_000_000]] * 3
+    assert [r["keep"] and interpolation._unplanes(r["keep"], 1).tolist() for r in rows[:3]] == [None, None, [6_000_000_000]]
+    assert rows[3]["sums"] == [9_000_000_000, 1, 6_000_000_000, 1]
+
+
 def test_interpolation_equals_the_formula(make, corpus, monkeypatch):
     monkeypatch.setattr(interpolation, "SLICE_BYTES", 20_000)
     learned = []
@@ -106,7 +120,7 @@ def test_interpolation_equals_the_formula(make, corpus, monkeypatch):
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
         s = 0.0
         for before, w in zip([0, *ws[:-1]], ws):
-            a, b, c = table[min(int(math.log2(context[before] + 1)), 15)]
+            a, b, c = table[min(int(math.log2(context[before] + 1)), interpolation.BUCKETS - 1)]
             s += math.log10((a * two[before, w] / context[before] if context[before] else 0) + b * one[w] / n + c / (v + 1))
         expected.append((d, fold(d) == 2, len(ws), sum(one[w] > 0 for w in ws), n, round(base, 4), round(s, 4)))
     assert multiset((*r[:5], round(r.base_score, 4), round(r.score, 4)) for r in got) == multiset(expected)
@@ -138,7 +152,7 @@ def plain_repeats(pairs):
             if seen[b[i : i + 400]] > 1:
                 mask[i + 1 : i + 401] = True
         kept = np.frombuffer(b, np.uint8)[~mask[1:-1]].tobytes()
-        out.append((d, len(b), int(mask.sum()), int((np.diff(mask.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), int(mask.sum()), int((np.diff(mask.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return multiset(out)
 
 
@@ -267,6 +281,27 @@ def test_packing(make, corpus, monkeypatch, rows):
     assert len(places) <= -(-sum(r.length for r in got) // 512) * 1.1 + 1
 
 
+@pytest.mark.parametrize("lengths, capacity, ranges, sequences", [
+    ([2000] * 2000 + [90] * 20, 4096, (50_000, 300), 1000),
+    ([3] * 700, 10, (50_000, 90), 234),
+    ([1] * 400, 100, (90,), 4),
+    ([7, 6, 5, 5, 4, 3], 10, (50_000,), 3),
+])
+def test_packing_opens_no_more_sequences_than_needed(spark, monkeypatch, lengths, capacity, ranges, sequences):
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "key long, length long")
+    for rows in ranges:
+        monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+        got = packing.pack_pieces(pieces, capacity).collect()
+        assert sorted(r.key for r in got) == list(range(len(lengths)))
+        assert len({r.sequence_id for r in got}) == sequences
+        places = collections.defaultdict(list)
+        for r in got:
+            places[r.sequence_id].append((r.offset, lengths[r.key]))
+        for own in places.values():
+            ends = [0, *itertools.accumulate(n for _, n in sorted(own))]
+            assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= capacity
+
+
 def test_ids_of_a_block_are_those_of_the_texts():
     from propensia.llm.tokenizing import WordIds
 
