@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as B
 from checks.registry import query, rounded, s6
-from propensia.operators import evaluation as E, explain as X, features as R, models as M, quality as Q, sampling as V
+from propensia.operators import evaluation as E, explain as X, features as R, models as M, quality as Q, sampling as V, stumps as T
 from propensia.session import shared_path, stage
 from propensia.sources.artifacts import ArtifactStore
 
@@ -128,6 +128,53 @@ def m8o(spark, sf):
     return _residuals(spark, sf, 0.3, 1.0)
 
 
+_F = ", ".join(B.FEATURES)
+_CELLS = f"select vec_id, label, cast(substr(name, 2) as int) as j, v from (unpivot (select vec_id, label, {_F} from vectors) on {_F} into name name value v)"
+
+
+def _priced(cells: str) -> str:
+    """Every cut of every column with its impurity, votes and error; ``cells`` has label, j, v and a weight w."""
+    return f"""
+      select j, (v + later) / 2 as threshold, v, cast(lb > la as int) as below, cast(tb - lb > ta - la as int) as above,
+             (2 * la * lb / (la + lb) + 2 * (ta - la) * (tb - lb) / (ta + tb - la - lb)) / (ta + tb) as impurity,
+             (least(la, lb) + least(ta - la, tb - lb)) / (ta + tb) as error
+      from (select j, v, sum(a) over c as la, sum(b) over c as lb, sum(a) over (partition by j) as ta, sum(b) over (partition by j) as tb,
+                   lead(v) over (partition by j order by v) as later
+            from (select j, v, sum(case when label = 0 then w else 0 end) as a, sum(case when label = 1 then w else 0 end) as b from {cells} group by 1, 2)
+            window c as (partition by j order by v rows unbounded preceding))
+      where later is not null"""
+
+
+def _samme(rounds: int) -> str:
+    """The first rounds of boosting, unrolled: a cut, then the weights it leaves."""
+    steps = {"cells": f"select vec_id, label, j, floor(4 * v) as v from ({_CELLS})", "w1": "select vec_id, 1.0::double as w from vectors"}
+    for r in range(1, rounds + 1):
+        steps[f"s{r}"] = f"{_priced(f'(select * from cells join w{r} using (vec_id))')} order by round(impurity, 12), j, v limit 1"
+        steps[f"w{r + 1}"] = (f"select vec_id, w * case when (case when c.v <= s.threshold then below else above end) = label then 1.0 "
+                              f"else (1 - error) / error end as w from cells c join s{r} s using (j) join w{r} using (vec_id)")
+    found = " union all ".join(
+        f"select {r} as round, j as feature, threshold, below, above, {s6('ln((1 - error) / error)', 'weight')} from s{r}" for r in range(1, rounds + 1))
+    return sql(found, **steps)
+
+
+@query("m6_first_splits", sql(
+    f"select j as feature, {s6('threshold', places=9)}, below, above, {s6('impurity', places=9)}, {s6('error', places=9)} "
+    f"from ({_priced(f'(select *, 1.0::double as w from ({_CELLS}))')}) qualify row_number() over (partition by j order by round(impurity, 12), v) = 1"))
+def m6s(spark, sf):
+    """The best first cut of a tree along every column, over all values."""
+    rows = B.vectors(spark, sf)
+    return rounded(T.best_splits(rows, F.array(*B.FEATURES), F.col("label")), "threshold", "impurity", "error", places=9)
+
+
+@query("m7_samme_rounds", _samme(3))
+def m7r(spark, sf):
+    """The first rounds of boosting with exact cuts, on columns of few values."""
+    rows = B.vectors(spark, sf).select("label", *[F.floor(F.col(c) * 4).cast("double").alias(c) for c in B.FEATURES])
+    model = M.AdaBoostSamme(maxIter=3, exactSplits=True).fit(M.assemble(rows, B.FEATURES))
+    found = [(i + 1, int(s[0]), s[1], int(s[2]), int(s[3]), s[4]) for i, s in enumerate(model.rounds())]
+    return rounded(spark.createDataFrame(found, "round int, feature int, threshold double, below int, above int, weight double"), "weight")
+
+
 @query("m10_oof_predictions")
 def m10(spark, sf):
     lr = M.logistic_l2(500, (1,), ITER).estimator
@@ -209,7 +256,6 @@ def x2l(spark, sf):
 
 
 _POOL, _POOL_ORDER = 3, "(vec_id * 7919 + 43) % 1000003"
-_F = ", ".join(B.FEATURES)
 _WALKED = f"""
 select vec_id, feature, (v - m) * b as shap, s * abs(b) / sqrt({_POOL}) as error
 from (unpivot (select vec_id, {_F} from vectors) on {_F} into name feature value v)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from propensia.operators.evaluation import BEST_WEIGHTS, cv_metrics, weighted_best
 from propensia.operators.neighbors import knn_join, vote_share
+from propensia.operators.stumps import best_split
 from propensia.session import shared_path, stage
 from propensia.sources.artifacts import ArtifactStore
 
@@ -61,19 +62,21 @@ def score(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 class _Boosting(HasFeaturesCol, HasLabelCol, HasMaxIter):
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage of each stump", TypeConverters.toFloat)
+    exactSplits = Param(Params._dummy(), "exactSplits", "whether all values are tried as cuts, or binned ones", TypeConverters.toBoolean)
 
 
 class AdaBoostSamme(Estimator, _Boosting, DefaultParamsReadable, DefaultParamsWritable):
     """Discrete SAMME (Zhu et al. 2009) over decision stumps, two classes.
 
     A row's weight is recomputed from the few numbers describing the stumps so far, so no round adds
-    lineage and a lost executor costs nothing but its cached rows.
+    lineage and a lost executor costs nothing but its cached rows. Stumps cut at Spark's binned values, or with
+    ``exactSplits`` at any value (``stumps.best_split``: one sort of the distinct values a round).
     """
 
     @keyword_only
-    def __init__(self, *, maxIter=50, learningRate=1.0, featuresCol="features", labelCol="label"):
+    def __init__(self, *, maxIter=50, learningRate=1.0, exactSplits=False, featuresCol="features", labelCol="label"):
         super().__init__()
-        self._setDefault(maxIter=50, learningRate=1.0)
+        self._setDefault(maxIter=50, learningRate=1.0, exactSplits=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> AdaBoostSammeModel:
@@ -88,9 +91,15 @@ class AdaBoostSamme(Estimator, _Boosting, DefaultParamsReadable, DefaultParamsWr
                 for s in stumps:
                     weight = weight * F.when(_stump(x, s) == F.col("label"), 1.0).otherwise(math.exp(s[4]))
                 weighted = rows.withColumn("_w", weight)
-                found = _stump_of(tree.fit(weighted))
-                missed = _stump(x, found) != F.col("label")
-                err = weighted.agg(F.sum(F.when(missed, F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
+                if self.getOrDefault(self.exactSplits):
+                    cut = best_split(weighted, x, F.col("label"), F.col("_w")).first()
+                    if cut is None:
+                        break
+                    found, err = [float(cut.feature), cut.threshold, float(cut.below), float(cut.above)], cut.error
+                else:
+                    found = _stump_of(tree.fit(weighted))
+                    missed = _stump(x, found) != F.col("label")
+                    err = weighted.agg(F.sum(F.when(missed, F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
                 if err is None or err >= 0.5:
                     break
                 if err <= 0:
@@ -127,9 +136,13 @@ class AdaBoostSammeModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultPa
         super().__init__()
         self._set(featuresCol=featuresCol, stumps=[float(v) for s in stumps for v in s])
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def rounds(self) -> list[list[float]]:
+        """Per round: feature, threshold, vote up to it, vote above, weight of the vote."""
         flat = self.getOrDefault(self.stumps)
-        rounds = [flat[i : i + 5] for i in range(0, len(flat), 5)]
+        return [flat[i : i + 5] for i in range(0, len(flat), 5)]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        rounds = self.rounds()
         x = vector_to_array(self.getFeaturesCol())
         vote = F.lit(0.0)
         for s in rounds:
