@@ -115,7 +115,7 @@ from p join f using (d)
 
 @query("op1_warc_round_trip", WARC_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "path")
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri", "record_id", "refers_to_id", "path")
 
 
 @query("op3_suffix_array_dedup")

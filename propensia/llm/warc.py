@@ -8,7 +8,10 @@ those of the header; a payload is never held whole unless asked for.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +21,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propensia.session import shared_path, stage
 
@@ -33,9 +36,17 @@ class DamagedArchive(ValueError):
     """A member, frame or digest of an archive is not as its header says."""
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A folder without a scheme lies in Spark's default file system, as it does for Spark's own tables."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return folder if ":/" in folder or default.startswith("file:") else default.rstrip("/") + folder
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith(("s3a://", "s3n://")):  # Hadoop's names of one store
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
@@ -108,10 +119,12 @@ class Member:
 
 
 class Record(NamedTuple):
+    """``payload_digest`` is bare SHA-256 and with ``payload_bytes`` of the full payload, null where a revisit does not state them."""
+
     headers: dict[str, str]
     http: dict[str, str]
-    payload_bytes: int
-    payload_digest: str
+    payload_bytes: int | None
+    payload_digest: str | None
     payload: bytes | None
 
 
@@ -120,42 +133,100 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
+#: digest algorithms that are verified, with their size; digests by others are passed over
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
+#: an HTTP header longer than this is none: the whole block is payload
+HTTP_HEAD = 1 << 20
+
+
+def _digest(labelled: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of ``algorithm:value`` with a hex or base32 value; None if absent or by an unknown algorithm."""
+    name, _, value = (labelled or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        return None
+    value = value.strip()
+    try:
+        if len(value) == 2 * DIGESTS[name]:
+            return name, bytes.fromhex(value)
+        return name, base64.b32decode(value + "=" * (-len(value) % 8), casefold=True)
+    except (ValueError, binascii.Error) as e:
+        raise DamagedArchive(f"unreadable digest {labelled}") from e
+
+
+class _Verified:
+    """Data hashed by the algorithm of a stated digest, if that is known."""
+
+    def __init__(self, labelled: str | None):
+        self.stated = _digest(labelled)
+        self.hash = hashlib.new(self.stated[0]) if self.stated else None
+
+    def update(self, piece: bytes) -> None:
+        if self.hash:
+            self.hash.update(piece)
+
+    def check(self, what: str) -> None:
+        if self.hash and self.hash.digest() != self.stated[1]:
+            raise DamagedArchive(what)
+
+
+def _stated_size(http: dict[str, str]) -> int | None:
+    size = http.get("content-length", "")
+    return int(size) if size.isascii() and size.isdigit() else None
+
+
 def read_records(source: BinaryIO, keep_payload: bool = False) -> Iterator[Record]:
-    """Records of an archive in order; raises ``DamagedArchive`` where framing or a digest is wrong."""
+    """Records of an archive in order; raises ``DamagedArchive`` where framing, a header or a digest is wrong.
+
+    Block and payload digests are verified by the algorithm that the header names (MD5, SHA-1, SHA-2; hex or base32); those by
+    other algorithms are passed over. The payload of an ``application/http`` block is what follows its HTTP header, that
+    of other blocks the whole block. A revisit's payload digest is of the payload it refers to, so it is not verified.
+    """
     ahead = source.read(CHUNK)
     while ahead:
         member = Member(source, ahead)
         try:
             headers = _fields(member.until(b"\r\n\r\n"))
-            length = int(headers["content-length"])
-        except (KeyError, ValueError, zlib.error) as e:
+            length, kind = headers["content-length"], headers["warc-type"]
+        except (KeyError, zlib.error) as e:
             raise DamagedArchive(f"a record has no readable header: {e}") from e
-        block, payload, http_head, size, body = hashlib.sha256(), hashlib.sha256(), b"", 0, []
-        http: dict[str, str] | None = None
+        if not (length.isascii() and length.isdigit()):
+            raise DamagedArchive(f"Content-Length {length}")
+        name, revisit = headers.get("warc-record-id"), kind == "revisit"
+        block, payload = _Verified(headers.get("warc-block-digest")), _Verified(None if revisit else headers.get("warc-payload-digest"))
+        own, size, body = hashlib.sha256(), 0, []
+        http: dict[str, str] | None = None if headers.get("content-type", "").lower().startswith("application/http") else {}
+        held = b""
         try:
-            for piece in member.take(length):
+            left = int(length)
+            for piece in member.take(left):
                 block.update(piece)
+                left -= len(piece)
                 if http is None:
-                    http_head += piece
-                    head, end, piece = http_head.partition(b"\r\n\r\n")
-                    if not end:
+                    held += piece
+                    head, end, rest = held.partition(b"\r\n\r\n")
+                    if end:
+                        http, piece = _fields(head), rest
+                    elif left and len(held) <= HTTP_HEAD:
                         continue
-                    http = _fields(head)
+                    else:
+                        http, piece = {}, held
                 payload.update(piece)
+                own.update(piece)
                 size += len(piece)
                 if keep_payload:
                     body.append(piece)
             ahead = member.finish() or source.read(CHUNK)
         except zlib.error as e:
             raise DamagedArchive(str(e)) from e
-        if "sha256:" + block.hexdigest() != headers.get("warc-block-digest", "sha256:" + block.hexdigest()):
-            raise DamagedArchive(f"block digest of {headers.get('warc-record-id')}")
-        digest = "sha256:" + payload.hexdigest()
-        if headers.get("warc-type") == "revisit":
-            digest, size = headers["warc-payload-digest"], int((http or {})["content-length"])
-        elif digest != headers.get("warc-payload-digest", digest):
-            raise DamagedArchive(f"payload digest of {headers.get('warc-record-id')}")
-        yield Record(headers, http or {}, size, digest.removeprefix("sha256:"), b"".join(body) if keep_payload else None)
+        block.check(f"block digest of {name}")
+        payload.check(f"payload digest of {name}")
+        digest: str | None = own.hexdigest()
+        if revisit:
+            stated = _digest(headers.get("warc-payload-digest"))
+            digest = stated[1].hex() if stated and stated[0] == "sha256" else None
+            size = _stated_size(http or {})
+        yield Record(headers, http or {}, size, digest, b"".join(body) if keep_payload else None)
 
 
 def _writer(folder: str, roll: int):
@@ -210,6 +281,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     again = large.join(stage(first.select("digest", "first"), "first"), "digest").where(~F.col("id").eqNullSafe(F.col("first")))
     again = stage(again.select("id", "digest", "first").distinct(), "again").withColumnRenamed("id", "again_id").withColumnRenamed("digest", "again_digest")
     marked = rows.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    folder = _qualified(pages.sparkSession, folder)
     written = marked.select("id", "url", "html", "first").mapInArrow(_writer(folder, roll), "path string, records long, bytes long")
     return stage(written, "archives")
 
@@ -217,12 +289,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def _reader(keep_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def number(urn: str | None) -> int | None:
-            digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-            return int(digits) if digits else None
+            """The page of a record id that ``record`` made; ids of other writers name no page."""
+            found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+            return int(found[1]) if found else None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "path", "payload"]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary()]
+            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "refers_to_id", "path", "payload"]
             n = len(names) if keep_payload else len(names) - 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows))[:n], types)], names[:n])
 
@@ -233,7 +306,7 @@ def _reader(keep_payload: bool):
                 with files.open_input_stream(name, compression=None) as source:
                     for r in read_records(source, keep_payload):
                         h = r.headers
-                        rows.append((number(h.get("warc-record-id")), r.payload_bytes, r.payload_digest, h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-target-uri"), path, r.payload))
+                        rows.append((number(h.get("warc-record-id")), r.payload_bytes, r.payload_digest, h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-target-uri"), h.get("warc-record-id"), h.get("warc-refers-to"), path, r.payload))
                         held += len(r.payload or b"") + 200
                         if held > 8 << 20:
                             yield batch_of(rows)
@@ -248,9 +321,11 @@ def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
     """All records of the archives whose paths are in the column path, a task per file.
 
     Returns page_id, payload_bytes and payload_digest (both of the full payload, also for revisits), record_type,
-    refers_to, target_uri, path and, if asked for, payload (empty for revisits). A damaged archive fails the read.
+    refers_to, target_uri, record_id and refers_to_id (as written), path and, if asked for, payload (empty for revisits).
+    page_id and refers_to are null for ids that ``write_archives`` did not make; the digest is SHA-256, and with the size
+    null where a revisit does not state it. Records of all types are returned. A damaged archive fails the read.
     """
-    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, path string"
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, refers_to_id string, path string"
     paths = archives.select("path")
     n = max(1, paths.count())
     return paths.repartition(n).mapInArrow(_reader(keep_payload), shape + (", payload binary" if keep_payload else ""))
