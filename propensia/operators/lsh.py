@@ -120,6 +120,6 @@ def lsh_knn_join(
     met = stage(met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "met")
     full = met.filter(F.col("rank") == k).select("id", "target")
     short = queries.join(full, ["id", "target"], "left_anti")
-    rest = knn_join(short if targeted else short.drop("target"), donors, k, exclude_self, block_rows=block_rows)
+    rest = knn_join(short if targeted else short.drop("target"), donors, k, exclude_self)
     names = ["id", "target", "neighbor_id", "distance", "value", "rank"]
     return met.join(full, ["id", "target"], "left_semi").select(*names).unionByName(rest.select(*names))

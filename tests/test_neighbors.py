@@ -90,3 +90,30 @@ def test_synthetic_rows_lie_between_minority_rows(spark):
         assert min(gaps) < 1e-9
     again = V.smote(df.repartition(5), "k", "label", ["a", "b"])
     assert again.exceptAll(out).isEmpty()
+
+
+def test_block_search_equals_all_pairs():
+    """Bounds in single precision leave out no neighbour: copies, near ties, gaps, shifted and outlying rows."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    d = rng.normal(size=(5000, 12))
+    d = np.concatenate([d, np.repeat(d[:1], 200, axis=0), d[:40] + 1e-9, d[:1] * 1e9, np.zeros((3, 12))])
+    for move, gaps in ((0.0, 0.0), (1e6, 0.0), (0.0, 0.1)):
+        y, x = d + move, np.concatenate([d[:20], rng.normal(size=(30, 12))]) + move
+        y[rng.random(y.shape) < gaps] = np.nan
+        x[rng.random(x.shape) < gaps] = np.nan
+        queries = pd.DataFrame({"id": range(len(x)), "vec": list(x), "target": 0})
+        donors = pd.DataFrame({"id": range(len(y)), "vec": list(y), "payload": 0.0})
+        got = N._block_top_k(4, True, False)(queries, donors).sort_values(["id", "distance", "neighbor_id"])
+        assert got.groupby("id")["neighbor_id"].apply(list).to_dict() == {i: v for i, v in brute(x, y, 4, True).items() if v}
+
+
+def test_queries_are_copied_to_few_cells(spark, monkeypatch):
+    """Without structure every cell is near: a query then meets one cell per block of donors, not one per root of their number."""
+    x = np.random.default_rng(7).normal(size=(3000, 24))
+    staged, stage = [], N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name="stage": staged.append(stage(df, name)) or staged[-1])
+    N.knn_join(frame(spark, x[:100], range(5000, 5100)), frame(spark, x), 3, block_rows=1000)
+    cells = next(s for s in staged if "cells" in s.columns)
+    assert cells.agg(F.max(F.size("cells"))).first()[0] <= 3
