@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from propensia.functions.hashing import key_hash, normal_hash
 from propensia.operators.quality import sample_n
+from propensia.session import parallel_buckets
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+#: scored steps of walks that one task sorts and sums
+STEP_ROWS = 1_000_000
+
 
 def scorer(model) -> Scorer:
     """Adds ``p``, the model's class-1 probability of the array column ``vec``."""
@@ -90,15 +95,19 @@ def shap_values(
     order; a feature's value is the mean change at its step. Walks come in pairs from one background row, the second
     in reverse order (antithetic sampling), and a row's pairs take the background rows in turn from a hashed start. Per row
     the values sum to the row's score minus ``base``, the mean score of its background draws. ``error`` is the standard error over
-    pairs, null for a single pair; an odd last walk is a pair of its own. ``background`` is a small sample.
+    pairs, null for a single pair; an odd last walk is a pair of its own. ``background`` is a small sample. ``rows`` are counted
+    first: a task gets the rows of about ``STEP_ROWS`` steps, as the plan would size tasks by the rows before they are walked.
     """
     n = len(features)
+    explained = rows.count()
+    tasks = max(parallel_buckets(rows.sparkSession), math.ceil(explained * permutations * (n + 1) / STEP_ROWS))
+    spread = ["key"] if explained >= 16 * tasks else ["key", "pair"]  # a few rows are spread by their pairs of walks
     pool = _row(background, key, features).agg(F.array_sort(F.collect_list("x"))).scalar()
     walks = (
         _row(rows, key, features)
         .withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
         .withColumn("pair", F.shiftright("walk", 1))
-        .repartition("key", "pair")  # spreads the scoring; window and sums per pair need no other exchange
+        .repartition(tasks, *spread)  # window and sums per pair need no other exchange
         .withColumn("_pool", pool)
         .withColumn("b", F.get("_pool", F.pmod(key_hash("key", seed=seed) + F.col("pair"), F.size("_pool")).cast("int")))
         .withColumn("order", F.transform(

@@ -116,3 +116,18 @@ def test_local_surrogate_recovers_a_linear_score(rows):
         if r["feature"] != "c":
             slope = {"a": 0.2, "b": -0.4}[r["feature"]] * spread[r["feature"]][1]
             assert abs(r["weight"] - slope) < 0.03
+
+
+def test_tasks_of_walks_are_sized_by_steps(spark, rows, monkeypatch):
+    """A task sorts a bounded number of steps, however small the rows are before they are walked; the values stay."""
+    linear = lambda df: df.withColumn("p", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v))
+    pool = Q.sample_n(rows, 5, "key", 7)
+    few = X.shap_values(linear, rows, pool, "key", COLS, permutations=4)
+    one = {(r["key"], r["feature"]): (r["shap"], r["error"]) for r in few.collect()}
+    monkeypatch.setattr(X, "STEP_ROWS", 100)
+    wide = X.shap_values(linear, rows, pool, "key", COLS, permutations=4)
+    assert "REPARTITION_BY_NUM" in wide._jdf.queryExecution().executedPlan().toString()
+    most = -(-rows.count() * 4 * (len(COLS) + 1) // 100)
+    assert f", {most})" in wide._jdf.queryExecution().executedPlan().toString()
+    for r in wide.collect():
+        assert abs(r["shap"] - one[r["key"], r["feature"]][0]) < 1e-12 and abs(r["error"] - one[r["key"], r["feature"]][1]) < 1e-12
