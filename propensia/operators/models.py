@@ -186,15 +186,21 @@ class CalibratedSvc(Estimator, _Svc, DefaultParamsReadable, DefaultParamsWritabl
             rows = rows.withColumn("features", array_to_vector(fourier_features(projection)(array)))
         half = F.pmod(F.xxhash64(vector_to_array("features")), F.lit(2))
         rows = rows.withColumn("_half", half).persist()
+
+        def fit(seen: DataFrame):
+            return LinearSVC(regParam=self.getRegParam(), maxIter=self.getMaxIter(), standardization=False).fit(seen)
+
+        def unseen_margins(side: int) -> DataFrame:
+            scored = fit(rows.filter(F.col("_half") != side)).transform(rows.filter(F.col("_half") == side))
+            return scored.select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+
         try:
-            svc = LinearSVC(regParam=self.getRegParam(), maxIter=self.getMaxIter(), standardization=False)
-            margins = None
-            for side in (0, 1):
-                seen, unseen = rows.filter(F.col("_half") != side), rows.filter(F.col("_half") == side)
-                part = svc.fit(seen).transform(unseen).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
-                margins = part if margins is None else margins.unionByName(part)
-            platt = LogisticRegression(maxIter=self.getMaxIter()).fit(assemble(margins, ["margin"]))
-            final = svc.fit(rows)
+            # many short jobs a fit: the three run beside each other, else they mostly wait for the driver
+            with ThreadPoolExecutor(3) as pool:
+                whole = pool.submit(fit, rows)
+                one, other = pool.map(unseen_margins, (0, 1))
+                platt = LogisticRegression(maxIter=self.getMaxIter()).fit(assemble(one.unionByName(other), ["margin"]))
+                final = whole.result()
         finally:
             rows.unpersist()
         return CalibratedSvcModel(
@@ -442,8 +448,8 @@ def grid_search_cv(
     """Best grid point by mean accuracy over the given folds, refitted on all rows.
 
     Fold by fold: ``preprocess``, if given, is fitted on the other folds and makes the ``features`` vector (else the columns
-    are assembled as they are); the rows of the fold are written once, ``parallelism`` points are fitted at a time, and a
-    fit's out-of-fold scores are written to ``path`` (a folder of this run if none is given). No fitted model of a fold
+    are assembled as they are); the rows of the fold are written once, ``parallelism`` points are fitted at a time (of several
+    folds, if one has fewer), and a fit's out-of-fold scores are written to ``path`` (a folder of this run if none is given). No fitted model of a fold
     is kept. A fit whose scores are complete is not made again, so a search stopped half way goes on where it was;
     name ``path`` by ``artifacts.fingerprint`` to tie it to data and parameters. Accuracies come from the
     written scores, and the scores of the best point are the result's. ``regParam`` values are meant for all rows and scaled to
@@ -455,27 +461,32 @@ def grid_search_cv(
     made = [key, label, fold_col, "features"]
     whole = df if preprocess else stage(assemble(df, names).select(*made), "training", rebalance=True)
     total, place = df.count(), lambda point, fold: f"{path}/point={point}/fold={fold}"
-    for fold in range(folds):
-        todo = [i for i in range(len(spec.grid)) if not _finished(spark, place(i, fold))]
-        if not todo:
-            continue
+    todo = {fold: [i for i in range(len(spec.grid)) if not _finished(spark, place(i, fold))] for fold in range(folds)}
+    todo = {fold: points for fold, points in todo.items() if points}
+
+    def run_fold(fold: int) -> None:
         inside = F.col(fold_col) == fold
         train, test = whole.filter(~inside), whole.filter(inside)
         if preprocess:
-            fitted = preprocess.fit(train)
+            fitted = preprocess.copy().fit(train)
             train = stage(fitted.transform(train).select(*made), "training", rebalance=True)
             test = stage(fitted.transform(test).select(*made), "fold")
         n, keep = train.count(), [key, label]
         if isinstance(spec.estimator, KnnClassifier):
             scores = _neighbour_scores(spec.estimator, spec.grid, train, test, keep)
         else:
-            scores = lambda params: score(spec.estimator.fit(train, _for_rows(params, n, total)), test, keep)  # noqa: B023, E731
+            scores = lambda params: score(spec.estimator.copy().fit(train, _for_rows(params, n, total)), test, keep)
 
         def run(point: int) -> None:
-            scores(spec.grid[point]).write.mode("overwrite").parquet(place(point, fold))  # noqa: B023
+            scores(spec.grid[point]).write.mode("overwrite").parquet(place(point, fold))
 
         with ThreadPoolExecutor(parallelism) as pool:
-            list(pool.map(run, todo))
+            list(pool.map(run, todo[fold]))
+
+    left, beside = list(todo), max(1, parallelism // max(map(len, todo.values()), default=1))  # few points leave room for more folds at a time
+    for at in range(0, len(left), beside):
+        with ThreadPoolExecutor(beside) as pool:
+            list(pool.map(run_fold, left[at : at + beside]))
     scored = spark.read.option("basePath", path).parquet(*[f"{path}/point={i}" for i in range(len(spec.grid))])
     hits = scored.groupBy("point", "fold").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("hit"))
     accuracy = {r["point"]: r["accuracy"] for r in hits.groupBy("point").agg(F.avg("hit").alias("accuracy")).collect()}  # a number per point

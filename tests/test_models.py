@@ -131,3 +131,31 @@ def test_tasks_of_walks_are_sized_by_steps(spark, rows, monkeypatch):
     assert f", {most})" in wide._jdf.queryExecution().executedPlan().toString()
     for r in wide.collect():
         assert abs(r["shap"] - one[r["key"], r["feature"]][0]) < 1e-12 and abs(r["error"] - one[r["key"], r["feature"]][1]) < 1e-12
+
+
+def test_fits_of_a_calibrated_machine_and_of_folds_run_beside_each_other(spark, rows, monkeypatch):
+    """Margin fits of both halves and of all rows overlap, and with one grid point the folds do; scores are as one by one."""
+    import threading
+    import time
+
+    now, most, lock, original = [], [], threading.Lock(), M.LinearSVC._fit
+
+    def watched(self, df):
+        with lock:
+            now.append(1)
+            most.append(len(now))
+        time.sleep(1)
+        try:
+            return original(self, df)
+        finally:
+            with lock:
+                now.pop()
+
+    monkeypatch.setattr(M.LinearSVC, "_fit", watched)
+    done = M.grid_search_cv(rows, M.svm(240, (1,), (0,), 6), "key", COLS, 2)
+    assert max(most) > 3 and len(most) == 9  # three fits in each of two folds, three of the refit
+    most.clear()
+    alone = M.grid_search_cv(rows, M.svm(240, (1,), (0,), 6), "key", COLS, 2, parallelism=1)
+    assert max(most) == 3
+    one, other = ({r["key"]: r["probability"] for r in d.oof.collect()} for d in (done, alone))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 for k in one)
