@@ -235,6 +235,46 @@ def test_passages_within_a_document_and_few_misses(make, rng):
     assert got[2].n_dup_words == 0 and got[3].n_dup_words > 0
 
 
+def test_windows_reach_as_far_as_similar_stretches(rng):
+    texts = [prose(rng, 600), f"{prose(rng, 200)} {'ab ' * 300}{prose(rng, 100)}", f"{prose(rng, 80)} {'a b c ' * 20}{prose(rng, 80)}"]
+    (batch,) = [pa.RecordBatch.from_pydict({"text": texts})]
+    found = collections.defaultdict(list)
+    for out in compact_windows._windows(iter([batch]), 7):
+        for row in out.to_pylist():
+            assert all(k % 7 == row["bucket"] for k in np.frombuffer(row["keys"], np.uint64).tolist())
+            for key, node, left, right, several in zip(*compact_windows._unpacked(row["keys"], row["nodes"], row["packed"])):
+                found[int(node)].append((int(key), int(left), int(right)))
+    for text in texts:
+        g = shingled(text)
+        keys = [(tokens.mix(g, 0x1000 + h) | np.uint64(1)).view(np.int64) for h in range(compact_windows.HASHES)]
+        mine = found[compact_windows._digest(tokens.words(next(tokens.blocks(pa.array([text])))).hashes)]
+        by = collections.defaultdict(list)
+        for key, left, right in mine:
+            by[key].append((left, right))
+        # every stretch of a similar one's size lies in a window of its smallest hash
+        for size in (compact_windows.LEAST, compact_windows.TOKENS, compact_windows.REACH):
+            for s in range(0, len(g) - size + 1, 3):
+                assert all(any(lo <= s and s + size - 1 <= hi for lo, hi in by[int(k[s : s + size].view(np.uint64).min().view(np.int64))]) for k in keys)
+    assert max(right - left for _, left, right in found[compact_windows._digest(tokens.words(next(tokens.blocks(pa.array(texts[:1])))).hashes)]) < 2 * compact_windows.REACH
+
+
+def test_a_shared_line_is_no_pair_and_a_shared_stretch_is(rng):
+    line, cycle = prose(rng, 13), "ab cd ef " * 60
+    texts = [f"{line} {cycle}", *[f"{prose(rng, 50)} {line}" for _ in range(20)], f"{prose(rng, 20)} {'cd ef ab ' * 30}", f"{cycle}{line}"]
+    rows = []
+    for i, text in enumerate(texts):
+        g = shingled(text)
+        plain = len(np.unique(g)) == len(g)
+        at = next(j for j in range(len(g)) if g[j] == shingled(line)[4]) if line in text else 0
+        key = int((tokens.mix(g[at : at + 1], 0x1000) | np.uint64(1)).view(np.int64)[0])
+        least = compact_windows.LEAST if plain else compact_windows._fewest(g, key)
+        rows.append({"key": 1, "left": 0, "right": 0, "side": 2, "node": i, "l": 0, "r": len(g) - 1, "least": least, "near": compact_windows._short(g, compact_windows.NEAR)})
+    found = {(r["a"], r["b"]) for out in compact_windows._cross(iter([pa.RecordBatch.from_pylist(rows)])) for r in out.to_pylist()}
+    similar = lambda a, b: len(compact_windows.similar_stretches(shingled(texts[a]), shingled(texts[b])))
+    assert {(0, 21), (0, 22), (21, 22)} & found and not any(1 <= a <= 20 or 1 <= b <= 20 for a, b in found)
+    assert not similar(0, 3) and not similar(3, 0) and not similar(3, 4)
+
+
 def test_licences(make):
     notice = license_scan.NOTICES["gpl-header"]
     cut = " ".join(notice.split()[:-5])
