@@ -7,6 +7,7 @@ import hashlib
 import io
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -275,6 +276,45 @@ def test_a_shared_line_is_no_pair_and_a_shared_stretch_is(rng):
     assert not similar(0, 3) and not similar(3, 0) and not similar(3, 4)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_windows_of_a_frequent_line_meet_where_they_share_more(rng, blocks):
+    line = prose(rng, 13)
+    texts = [f"{prose(rng, 30)} {line} {prose(rng, 30)}" for _ in range(400)]
+    for i in range(150):
+        words = texts[i].split()
+        words[rng.randrange(20)] = "edit"
+        texts.append(" ".join(words))
+    rows, sets = [], []
+    for i, text in enumerate(texts):
+        g = shingled(text)
+        sets.append(set(g.tolist()))
+        side = 2 if blocks == 1 else min(i % 3, 1)
+        rows.append({"key": 1, "left": 0, "right": blocks - 1, "side": side, "node": i, "l": 0, "r": len(g) - 1, "least": compact_windows.LEAST, "near": compact_windows._short(g, compact_windows.NEAR)})
+    # a second key, and windows that come twice
+    rows += [{**r, "key": 2} for r in rows[:20]] + [{**r, "key": 3} for r in rows[398:]] * 2
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 100]) for i in range(0, len(rows), 100)]
+    found = {(r["a"], r["b"]) for out in compact_windows._cross(iter(batches)) for r in out.to_pylist()}
+    alike = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= compact_windows.LEAST}
+    across = {(a, b) for a, b in alike if blocks == 1 or min(a % 3, 1) != min(b % 3, 1)}
+    assert across and across == found
+
+
+def test_passages_leave_no_shuffle_files(spark, make, rng, monkeypatch):
+    monkeypatch.setattr(compact_windows, "ROUND", 4)  # several rounds
+    passage = prose(rng, 90)
+    docs = make([(i, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for i in range(12)])
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in str(disk.getAllFiles().mkString(" ")).split() if "/shuffle_" in n}
+    before = files()
+    out = compact_windows.repeated_passages(docs)
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert all(r.n_links == 11 for r in out.collect())
+
+
 def test_licences(make):
     notice = license_scan.NOTICES["gpl-header"]
     cut = " ".join(notice.split()[:-5])
